@@ -1,14 +1,16 @@
 """Toxicity by compression distance: windows shrink further with a dictionary of toxic text than with one of ordinary text.
 
 Toxic words stand thinly in text that is otherwise like any other, so dictionaries of whole texts tell classes apart badly. The toxic
-dictionary is therefore made of what only toxic text repeats: runs of a word whose every ``GRAM`` bytes occur in toxic samples in many
-contexts (preceding words, so that copies of one text count once) and in ordinary samples hardly ever. The ordinary dictionary is
+dictionary is therefore made of what only toxic text repeats: the shortest pieces of words, ``SIZES`` bytes long, that occur in toxic
+samples in many contexts (preceding words, so that copies of one text count once) and in ordinary samples hardly ever. The ordinary dictionary is
 zstandard's own training on ordinary samples; both compressors hold it, followed by the toxic runs or by as many inert bytes, so equal
 matches cost the same and a window's difference is what the toxic runs save. Matches are at least GRAM bytes long, and windows short
 enough that zstandard leaves literals as they are: the difference of a window without toxic runs is nearly always 0.
 
-Per document the greatest difference, the sum of the positive ones against the square root of the windows, and how many windows save
-two bytes or more go through a logistic calibration to a score.
+Pieces of more than GRAM bytes have parts that ordinary text holds too, so they make a second toxic dictionary, noisier than the first.
+
+Per document and dictionary the greatest difference, the sum of the positive ones against the root of the number of windows, and how many
+windows save two and four bytes or more go through a logistic calibration to a score.
 
 Edge cases: null and empty texts are one empty window and get the score of a text without toxic runs; without labels of both classes
 every score is the share of label 1 (0.5 where there is no label at all); null ids are kept and count as not held out; labels are never
@@ -28,6 +30,7 @@ from tesserae.llm import compression
 from tesserae.llm.compression import Fold, Logistic
 
 WINDOW, OVERLAP, GRAM = 76, 16, 5
+SIZES = (5, 6, 7, 8, 9, 10, 12)
 PER_CLASS = 1500
 ORDINARY_BYTES, TOXIC_BYTES = 4096, 3072
 _MARKS = b".,;:!?\"'()"
@@ -48,30 +51,43 @@ def _contexts(texts: list[bytes]) -> dict[bytes, int]:
     return {w: len(s) for w, s in seen.items()}
 
 
-def _grams(words: dict[bytes, int]) -> Counter[bytes]:
+def _grams(words: dict[bytes, int], size: int) -> Counter[bytes]:
     out: Counter[bytes] = Counter()
     for w, n in words.items():
         s = b" " + w + b" "
-        for g in {s[i : i + GRAM] for i in range(len(s) - GRAM + 1)}:
+        for g in {s[i : i + size] for i in range(len(s) - size + 1)}:
             out[g] += n
     return out
 
 
-def toxic_runs(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
-    """The runs, rarest first, with a byte between them that no text holds."""
+def toxic_runs(toxic: list[bytes], ordinary: list[bytes]) -> tuple[bytes, bytes]:
+    """The runs, rarest first, with a byte between them that no text holds: those of the shortest pieces, and the others."""
     words, others = _contexts(toxic), _contexts(ordinary)
-    here, there = _grams(words), _grams(others)
     rate = sum(words.values()) / max(1, sum(others.values()))
-    only = {g for g, n in here.items() if n >= 3 + len(toxic) / 60 and there[g] * rate <= 0.02 * n}
+    only: dict[bytes, int] = {}
+    for size in SIZES:
+        there = _grams(others, size)
+        for g, n in _grams(words, size).items():
+            if n >= 3 + len(toxic) / 60 and there[g] * rate <= 0.02 * n and not any(g[i : i + k] in only for k in SIZES if k < size for i in range(size - k + 1)):
+                only[g] = n
+    return tuple(_runs(words, {g for g in only if (len(g) == GRAM) == short}) for short in (True, False))
+
+
+def _runs(words: dict[bytes, int], only: set[bytes]) -> bytes:
+    """What overlaps inside a word is one run."""
     runs: Counter[bytes] = Counter()
     for w, n in words.items():
-        s, start = b" " + w + b" ", None
-        for i in range(len(s) - GRAM + 2):
-            if i <= len(s) - GRAM and s[i : i + GRAM] in only:
-                start = i if start is None else start
-            elif start is not None:
-                runs[s[start : i + GRAM - 1]] += n
-                start = None
+        s, start, stop = b" " + w + b" ", 0, -1
+        for i in range(len(s)):
+            long = next((k for k in SIZES if s[i : i + k] in only), 0)
+            if long and i > stop - GRAM + 1:
+                if stop > 0:
+                    runs[s[start:stop]] += n
+                start, stop = i, i + long
+            elif long:
+                stop = max(stop, i + long)
+        if stop > 0:
+            runs[s[start:stop]] += n
     chosen, size = [], 0
     for r, _ in sorted(runs.items(), key=lambda x: (-x[1], x[0])):
         size += len(r) + 1
@@ -85,20 +101,24 @@ def toxic_runs(toxic: list[bytes], ordinary: list[bytes]) -> bytes:
 class Model:
     ordinary: bytes
     toxic: bytes
+    longer: bytes
     logistic: Logistic
 
     def features(self) -> Callable[[list[bytes]], np.ndarray]:
         import zstandard
 
         chosen = dict(window_log=15, hash_log=14, chain_log=14, search_log=6, min_match=GRAM, target_length=64, strategy=zstandard.STRATEGY_GREEDY)
-        plain = compression.compressor(self.ordinary + b"\xff" * len(self.toxic) + PRIME, True, **chosen)
-        with_toxic = compression.compressor(self.ordinary + self.toxic + PRIME, True, **chosen)
+        inert = b"\xff" * max(len(self.toxic), len(self.longer))
+        made = [compression.compressor(self.ordinary + inert[len(d) :] + d + PRIME, True, **chosen) for d in (inert, self.toxic, self.longer) if d or d is inert]
 
         def of(texts: list[bytes]) -> np.ndarray:
-            out = np.empty((len(texts), 3))
+            out = np.zeros((len(texts), 8))
             for i, x in enumerate(texts):
-                saved = np.array([len(plain(w)) - len(with_toxic(w)) for w in map(PRIME.__add__, compression.windows(x.lower(), WINDOW, OVERLAP))])
-                out[i] = saved.max(), np.maximum(saved, 0).sum() / len(saved) ** 0.5, np.log1p((saved >= 2).sum())
+                parts = [PRIME + w for w in compression.windows(x.lower(), WINDOW, OVERLAP)]
+                sizes = [np.array([len(c(w)) for w in parts]) for c in made]
+                for k, with_runs in enumerate(sizes[1:]):
+                    gain = np.maximum(0, sizes[0] - with_runs)
+                    out[i, 4 * k : 4 * k + 4] = gain.max(), gain.sum() / len(gain) ** 0.5, np.log1p((gain >= 2).sum()), np.log1p((gain >= 4).sum())
             return out
 
         return of
@@ -110,7 +130,7 @@ class Model:
 
 def fit(samples: dict[int, list[bytes]], prior: float) -> Model:
     toxic, ordinary = samples[1], samples[0]
-    model = Model(compression.train([x[i : i + 256] for x in ordinary for i in range(0, len(x), 2048)], ORDINARY_BYTES), toxic_runs(toxic, ordinary), Logistic())
+    model = Model(compression.train([x[i : i + 256] for x in ordinary for i in range(0, len(x), 2048)], ORDINARY_BYTES), *toxic_runs(toxic, ordinary), Logistic())
     if toxic and ordinary:
         model.logistic = Logistic.fit(model.features()([*toxic, *ordinary]), np.array([1] * len(toxic) + [0] * len(ordinary)), prior)
     elif toxic or ordinary:
