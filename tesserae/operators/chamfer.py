@@ -19,13 +19,16 @@ from tesserae.functions import vectors
 from tesserae.operators import blocks
 
 QUERY_BLOCK, DOCUMENT_BLOCK = 256, 8192
+#: Few documents are dealt over the session's cores all the same, in blocks of no fewer than this.
+LEAST_BLOCK = 32
 EMPTY = -1e9
 
 
 def grid(queries: DataFrame, documents: DataFrame, query_block: int = QUERY_BLOCK, document_block: int = DOCUMENT_BLOCK) -> tuple[DataFrame, DataFrame]:
     """Both with columns a (block of queries) and b (block of documents): a query goes to every b, a document to every a."""
     nq, nd = queries.count(), documents.count()
-    qa, db = max(1, -(-nq // query_block)), max(1, -(-nd // document_block))
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    qa, db = max(1, -(-nq // query_block)), max(1, -(-nd // document_block), min(cores, -(-nd // LEAST_BLOCK)))
     q = queries.withColumn("a", F.pmod(F.xxhash64("qid"), F.lit(qa)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(db - 1))))
     d = documents.withColumn("b", F.pmod(F.xxhash64("doc_id"), F.lit(db)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(qa - 1))))
     return q, d

@@ -66,3 +66,9 @@ def sketch(tokens: DataFrame, top: int, digits: int | None = None) -> DataFrame:
 def read_sketch(tokens: DataFrame, sketch_: DataFrame) -> DataFrame:
     """The tokens that a sketch names."""
     return tokens.join(sketch_.select("doc_id", "tok_id"), ["doc_id", "tok_id"], "left_semi")
+
+
+def read_spans(tokens: DataFrame, wanted_: DataFrame) -> DataFrame:
+    """The tokens inside spans (doc_id, start, length), each once however many spans hold it."""
+    rows = wanted_.select("doc_id", F.explode(F.sequence(F.col("start").cast("int"), (F.col("start") + F.col("length") - 1).cast("int"))).alias("tok_id"))
+    return tokens.join(rows, ["doc_id", "tok_id"], "left_semi")

@@ -114,7 +114,8 @@ _TRUTH = f"""{_SYSTEM}, m as (select b.qid, count(r.rank) hits, count(*) n, sum(
 
 
 def _clouds(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    return retrieval.clouds(spark, folder)
+    q, d = retrieval.clouds(spark, folder)
+    return keep(q, "query-clouds"), keep(d, "clouds")
 
 
 def _encodings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -442,7 +443,7 @@ def stream_search(spark: SparkSession, folder: str) -> DataFrame:
 @register()
 def index_search(spark: SparkSession, folder: str) -> DataFrame:
     """Build, store, load, probe, rescore on whole clouds: the entry points end to end."""
-    q, d = (keep(x, "clouds") for x in _clouds(spark, folder))
+    q, d = _clouds(spark, folder)
     path = f"{shared_folder(spark)}/tesserae/index-{next(tempfile._get_candidate_names())}"
     retrieval.build(d, FILLED, path, nlist=4)
     return retrieval.search(spark, path, q, d, retrieval.SearchConfig(candidates=CANDIDATES, rerank_n=RERANK, nprobe=NPROBE))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.functions import vectors
+from tesserae.functions import udfs, vectors
 from tesserae.operators import ann, chamfer, encoder, fde, lsh, metrics, partial, rerank, samples, stats, store
 from tesserae.operators.fde import Encoding, FdeConfig, Projection
 from tesserae.plans import retrieval
@@ -217,6 +217,27 @@ def test_spans_pointers_norms(spark, clouds):
     assert partial.read_sketch(toks, top).count() == top.count()
 
 
+def test_read_spans(spark, clouds):
+    spans_ = spark.createDataFrame([(0, 1, 2), (0, 2, 2), (3, 0, 1)], "doc_id long, start long, length long")
+    got = partial.read_spans(tokens_of(spark, clouds), spans_).collect()
+    assert sorted((r.doc_id, r.tok_id) for r in got) == [(0, 1), (0, 2), (0, 3), (3, 0)]
+
+
+def test_sql_functions(spark, clouds):
+    cfg = FdeConfig(dimension=DIM, projections=3, repetitions=2, fill_empty=True)
+    assert udfs.register(spark, cfg, "t_") == ["t_chamfer", "t_fde_query", "t_fde_document", "t_simhash_partition"]
+    packed_of(spark, clouds).createOrReplaceTempView("clouds")
+    for r in spark.sql("select doc_id, toks, t_fde_query(toks) q, t_fde_document(toks) d, t_chamfer(toks, toks) c from clouds").collect():
+        x = clouds[r.doc_id]
+        assert np.allclose(r.q, slow_fde(x, cfg, query=True)) and np.allclose(r.d, slow_fde(x, cfg)) and math.isclose(r.c, chamfer_of(x, x))
+    toks = tokens_of(spark, clouds)
+    toks.createOrReplaceTempView("toks")
+    by_sql = {(r.doc_id, r.tok_id): r.p for r in spark.sql("select doc_id, tok_id, t_simhash_partition(v) p from toks").collect()}
+    assert by_sql == {(r.doc_id, r.tok_id): r.p for r in toks.select("doc_id", "tok_id", vectors.partition_index("v", cfg.planes(0)).alias("p")).collect()}
+    nothing = spark.sql("select t_chamfer(array(array(1D)), cast(null as array<array<double>>)) c, t_simhash_partition(cast(null as array<double>)) p").first()
+    assert tuple(nothing) == (-1e9, None)
+
+
 def test_lsh(spark, clouds):
     planes = lsh.planes(DIM, 4, 2)
     toks = tokens_of(spark, clouds)
