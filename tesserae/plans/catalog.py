@@ -6,7 +6,6 @@ different orders.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -17,7 +16,7 @@ from tesserae.functions import vectors
 from tesserae.operators import ann, chamfer, encoder, fde, lsh, metrics, partial, rerank, stats, store
 from tesserae.operators.fde import Encoding, FdeConfig, Projection
 from tesserae.plans import retrieval
-from tesserae.session import keep, shared_folder
+from tesserae.session import keep, place
 from tesserae.sources import tables
 from tesserae.streaming import search as streaming
 
@@ -432,7 +431,7 @@ def pos_locality(spark: SparkSession, folder: str) -> DataFrame:
 def stream_search(spark: SparkSession, folder: str) -> DataFrame:
     """The queries as a stream of files, answered batch by batch."""
     q, d = _clouds(spark, folder)
-    run = f"{shared_folder(spark)}/tesserae/stream-{next(tempfile._get_candidate_names())}"
+    run = place(spark, "stream")
     q.repartition(3).write.parquet(f"{run}/in")
     static = keep(d, "static")
     answer = lambda asked: chamfer.ranked(chamfer.scores(asked, static), K, DIGITS)
@@ -444,6 +443,6 @@ def stream_search(spark: SparkSession, folder: str) -> DataFrame:
 def index_search(spark: SparkSession, folder: str) -> DataFrame:
     """Build, store, load, probe, rescore on whole clouds: the entry points end to end."""
     q, d = _clouds(spark, folder)
-    path = f"{shared_folder(spark)}/tesserae/index-{next(tempfile._get_candidate_names())}"
+    path = place(spark, "index")
     retrieval.build(d, FILLED, path, nlist=4)
     return retrieval.search(spark, path, q, d, retrieval.SearchConfig(candidates=CANDIDATES, rerank_n=RERANK, nprobe=NPROBE))

@@ -30,9 +30,27 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tesserae-{spark.sparkContext.applicationId}"
+
+
+def place(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{_own(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def keep(df: DataFrame, name: str = "table") -> DataFrame:
-    """df written as Parquet in the shared folder and read again: later plans start there, and a lost executor takes nothing along."""
+    """df written as Parquet in the shared folder and read again: later plans start there, and a lost executor takes nothing along.
+
+    The tables stay until ``forget``, as results that haven't been computed may read them.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tesserae/{name}-{uuid.uuid4().hex}"
+    path = place(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def forget(spark: SparkSession) -> None:
+    """Removes all tables that this application has kept. Call it once results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

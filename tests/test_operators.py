@@ -368,3 +368,12 @@ def test_stream(spark, clouds, tmp_path):
         streaming.serve(streaming.query_stream(spark, str(tmp_path / "in")), answer, str(tmp_path / "out"), str(tmp_path / "state"))
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == 2 * len(clouds) and got.select("batch").distinct().count() > 1
+
+
+def test_kept_tables(spark):
+    from tesserae import session
+
+    kept = session.keep(spark.range(5), "few")
+    assert kept.count() == 5 and "file:" in kept.inputFiles()[0]
+    other = spark.newSession()
+    assert session.shared_folder(other) == session.shared_folder(spark)
