@@ -15,6 +15,8 @@ give a row each.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import hashlib
 import json
@@ -31,9 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Stretches a worker remembers, and the longest of them in bytes; texts are worked on in groups of so many bytes.
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 400_000
 MEMO_BYTES = 64
-GROUP_BYTES = 8_000_000
+GROUP_BYTES = 3_000_000
 #: Longer words go through the scalar program: the columnar one takes a step for each place of its longest word.
 COLUMN_BYTES = 192
 #: The end-of-word form of byte b is written chr(END + b) inside this module.
@@ -442,10 +444,29 @@ class PrefixBpe:
         return b" ".join(map(self.names.__getitem__, memoryview(ids).cast("I")))
 
 
-@lru_cache(maxsize=2)
+def _trim() -> None:
+    """Freed memory back to the machine, where the C library can do that."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+@lru_cache(maxsize=1)
 def encoder(path: str) -> PrefixBpe:
     """One per worker process."""
-    return PrefixBpe(path)
+    made = PrefixBpe(path)
+    _trim()
+    return made
+
+
+@contextlib.contextmanager
+def in_task(path: str) -> Iterator[PrefixBpe]:
+    """The worker's encoder; what it remembers ends with the task, as the worker may go on to other work."""
+    bpe = encoder(path)
+    try:
+        yield bpe
+    finally:
+        bpe._memo.clear()
+        _trim()
 
 
 def default_path() -> str:
@@ -469,11 +490,11 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
-        for b in batches:
-            ids = [np.frombuffer(x, "<u4").astype("i4") for x in bpe.encode_all(_each(b))]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("i4")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, np.concatenate([*ids, np.empty(0, "i4")]))], ["doc_id", "ids"])
+        with in_task(path) as bpe:
+            for b in batches:
+                ids = [np.frombuffer(x, "<u4").astype("i4") for x in bpe.encode_all(_each(b))]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("i4")
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, np.concatenate([*ids, np.empty(0, "i4")]))], ["doc_id", "ids"])
 
     return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -483,10 +504,10 @@ def decode(rows: DataFrame, path: str | None = None, id_col: str = "doc_id", ids
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
-        for b in batches:
-            out = [bpe.decode(np.asarray(x, "<u4").tobytes()).decode() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
+        with in_task(path) as bpe:
+            for b in batches:
+                out = [bpe.decode(np.asarray(x, "<u4").tobytes()).decode() for x in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
     return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids")).mapInArrow(run, "doc_id long, text string")
 
@@ -496,14 +517,14 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
-        for b in batches:
-            n, a, c = [], [], []
-            for ids in bpe.encode_all(_each(b)):
-                n.append(len(ids) // 4)
-                a.append(hashlib.sha256(ids).hexdigest())
-                c.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(c, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with in_task(path) as bpe:
+            for b in batches:
+                n, a, c = [], [], []
+                for ids in bpe.encode_all(_each(b)):
+                    n.append(len(ids) // 4)
+                    a.append(hashlib.sha256(ids).hexdigest())
+                    c.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(c, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -513,9 +534,9 @@ def lengths(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", te
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in bpe.encode_all(_each(b))], pa.int64())], ["doc_id", "n_tokens"])
+        with in_task(path) as bpe:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) // 4 for x in bpe.encode_all(_each(b))], pa.int64())], ["doc_id", "n_tokens"])
 
     return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long")
 
@@ -525,15 +546,15 @@ def pieces(docs: DataFrame, capacity: int, end_id: int = 0, path: str | None = N
     path, tail = path or default_path(), struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
-        for b in batches:
-            rows = []
-            for d, x in zip(b.column(0).to_pylist(), bpe.encode_all(_each(b))):
-                ids = x + tail
-                for k, s in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[s : s + 4 * capacity]
-                    rows.append((d, k, s // 4, len(part) // 4, zlib.crc32(part)))
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        with in_task(path) as bpe:
+            for b in batches:
+                rows = []
+                for d, x in zip(b.column(0).to_pylist(), bpe.encode_all(_each(b))):
+                    ids = x + tail
+                    for k, s in enumerate(range(0, len(ids), 4 * capacity)):
+                        part = ids[s : s + 4 * capacity]
+                        rows.append((d, k, s // 4, len(part) // 4, zlib.crc32(part)))
+                cols = list(zip(*rows)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
