@@ -25,11 +25,11 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--repetitions", type=int, nargs="+" if p is sweep else None, default=[2] if p is sweep else 2)
         p.add_argument("--projections", type=int, nargs="+" if p is sweep else None, default=[3, 4, 5] if p is sweep else 5)
         p.add_argument("--dimension", type=int, default=128)
-        p.add_argument("--nlist", type=int, default=1000)
-        p.add_argument("--seed", type=int, default=42)
+        p.add_argument("--seed", default=42, type=int)
+        p.add_argument("--nlist", default=1000, type=int, help="number of inverted lists")
     for p in (search, sweep):
         p.add_argument("--queries", required=True)
-        p.add_argument("--nprobe", type=int, default=50)
+        p.add_argument("--nprobe", default=50, type=int, help="lists read for each query")
         p.add_argument("--candidates", type=int, default=100)
         p.add_argument("--rerank-n", type=int, nargs="+" if p is sweep else None, default=[50] if p is sweep else 50)
         p.add_argument("--read-policy", choices=partial.POLICIES, default="full")

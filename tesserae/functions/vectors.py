@@ -96,8 +96,9 @@ def hamming(a: Column, b: Column) -> Column:
 
 def sketch_draws(dimension: int, columns: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Column and sign of each input place: two draws of one generator, in that order."""
-    rng = np.random.default_rng(seed)
-    return rng.integers(0, columns, size=dimension), rng.choice([-1.0, 1.0], size=dimension)
+    rng, signs = np.random.default_rng(seed), np.array([-1.0, 1.0])
+    columns_of = rng.integers(columns, size=dimension)
+    return columns_of, rng.choice(signs, dimension)
 
 
 def signed_sums(v: Column | str, columns: int, draws: tuple[np.ndarray, np.ndarray]) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from dataclasses import asdict, fields
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +27,8 @@ def short_key(qid: Column, text: Column) -> Column:
 def folder_name(dataset: str, model: str, cfg: FdeConfig) -> str:
     """Readable, and distinct for each configuration."""
     said = json.dumps([dataset, model, _plain(cfg)], sort_keys=True)
-    return f"{dataset.replace('/', '_')}-{model.replace('/', '_')}-{hashlib.md5(said.encode()).hexdigest()[:10]}"
+    readable = "-".join(re.sub("[^A-Za-z0-9.]+", "_", part) for part in (dataset, model))
+    return f"{readable}-{hashlib.md5(said.encode()).hexdigest()[:10]}"
 
 
 def _plain(cfg: FdeConfig) -> dict:

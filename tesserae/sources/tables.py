@@ -40,7 +40,7 @@ def qrels(tokens_: DataFrame) -> DataFrame:
 
 
 def read_corpus_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, title, text of a BEIR corpus file; malformed lines are left out."""
+    """doc_id, title, text of a corpus in JSON lines; malformed lines are left out."""
     schema = StructType([StructField(c, StringType()) for c in ("_id", "title", "text")])
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
     return rows.select(F.col("_id").alias("doc_id"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")

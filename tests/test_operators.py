@@ -40,7 +40,8 @@ def slow_fde(x, cfg, query=False):
         y = x
         if cfg.projection is Projection.AMS:
             g = np.random.default_rng(cfg.seed + r)
-            index, sign = g.integers(0, cfg.width, size=cfg.dimension), g.choice([-1.0, 1.0], size=cfg.dimension)
+            index = g.integers(cfg.width, size=cfg.dimension)
+            sign = 2.0 * g.choice(2, cfg.dimension) - 1
             y = np.zeros((len(x), cfg.width))
             for i in range(cfg.dimension):
                 y[:, index[i]] += sign[i] * x[:, i]
@@ -68,7 +69,8 @@ def slow_fde(x, cfg, query=False):
     flat = np.concatenate(out)
     if cfg.final_dimension:
         g = np.random.default_rng(cfg.seed)
-        index, sign = g.integers(0, cfg.final_dimension, size=len(flat)), g.choice([-1.0, 1.0], size=len(flat))
+        index = g.integers(cfg.final_dimension, size=len(flat))
+        sign = 2.0 * g.choice(2, len(flat)) - 1
         small = np.zeros(cfg.final_dimension)
         for i, v in enumerate(flat):
             small[index[i]] += sign[i] * v
