@@ -1,15 +1,16 @@
 """Chat formatting of reply trees, with DataFrame functions alone.
 
-Iterative self-joins walk from the roots to the leaves, carrying node ids and the sum of scores; each conversation's branches are ranked by
-mean score (ties: the path that comes first) and every chosen path is formatted as one conversation. Texts are joined to the chosen paths
-only. Every step's frontier is written to the shared folder, so lineage stays short and a lost executor costs one step.
+Iterative self-joins double the reach of every node's pointer towards its root, adding up depths and scores: a reply chain of d turns takes
+log2(d) joins. Each conversation's leaves, that is its branches, are ranked by mean score (ties: the smaller leaf). The same pointers then
+enumerate the chosen root-to-leaf paths, the longest jumps first, and every path is formatted as one conversation. Texts are joined to the
+chosen paths only. Every round's pointers are written to the shared folder, so lineage stays short and a lost executor costs one round.
 
 Template, per turn: ``<|im_start|>role``, a line feed, the text, ``<|im_end|>`` and a line feed. Inside texts ``\\`` is doubled and
 ``<|`` becomes ``<\\|``, so no control string can occur in one, and back again; in roles ``%``, line feeds and ``<|`` are percent-coded.
 The loss mask is an array of spans (start, length, in characters of the formatted string) that cover the assistant texts and nothing else.
 
-Edge cases: null texts and roles are empty ones; a node whose parent is null or absent is a root; rows on a cycle hang below no root and
-are in no path; of rows that repeat a node of a conversation the smallest (by parent, role, text, score) counts; null conversation ids are one conversation; no rows
+Edge cases: null texts and roles are empty ones; a node whose parent is null or absent is a root; rows on or below a cycle hang below no
+root and are in no path; of rows that repeat a node of a conversation the smallest (by parent, role, text, score) counts; null conversation ids are one conversation; no rows
 give no rows; other columns are not read.
 """
 
@@ -40,24 +41,39 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.replace(F.replace(role, F.lit("%3C|"), F.lit("<|")), F.lit("%0A"), F.lit("\n")), F.lit("%25"), F.lit("%"))
 
 
-def branches(nodes: DataFrame) -> DataFrame:
-    """conv_id, path (node ids from root to leaf), score (their mean) of every leaf. nodes: conv_id, node, parent, score."""
-    nodes = keep(nodes.select("conv_id", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "nodes")
-    ids = nodes.select(F.col("conv_id").alias("c"), F.col("node").alias("n")).distinct()
-    parents = nodes.where("parent is not null").select(F.col("conv_id").alias("c"), F.col("parent").alias("n")).distinct()
-    same = F.col("conv_id").eqNullSafe(F.col("c"))
-    orphan = nodes.join(ids, same & (F.col("parent") == F.col("n")), "left_anti")
-    leaves = keep(nodes.join(parents, same & (F.col("node") == F.col("n")), "left_anti").select(F.col("conv_id").alias("c"), F.col("node").alias("n")).distinct(), "leaves")
-    front = keep(orphan.select("conv_id", "node", F.array("node").alias("path"), F.col("score").alias("total")), "front")
-    done = None
-    below = nodes.select(F.col("conv_id").alias("c"), F.col("node").alias("child"), "parent", F.col("score").alias("own"))
-    while done is None or not front.isEmpty():
-        at_leaf = front.join(leaves, same & (F.col("node") == F.col("n")), "left_semi")
-        found = at_leaf.select("conv_id", "path", (F.col("total") / F.size("path")).alias("score"))
-        done = found if done is None else done.unionByName(found)
-        down = front.join(below, same & (F.col("node") == F.col("parent")))
-        front = keep(down.select("conv_id", F.col("child").alias("node"), F.concat("path", F.array("child")).alias("path"), (F.col("total") + F.col("own")).alias("total")), "front")
-    return done
+def pointers(nodes: DataFrame) -> list[DataFrame]:
+    """Round by round: conv_id, node, up, dist, total. nodes: conv_id, node, parent, score; a node once.
+
+    In round k ``up`` is the ancestor 2^k steps above, or null where the root is nearer; dist and total are the number and the scores of
+    the nodes from the node to below ``up``, to the root where it is null. In the last round every node below a root has no ``up``.
+    """
+    ids = nodes.select(F.col("conv_id").alias("c"), F.col("node").alias("up"))
+    first = nodes.join(ids, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("parent") == F.col("up")), "left")
+    rounds = [keep(first.select("conv_id", "node", "up", F.lit(1).alias("dist"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("total")), "pointers")]
+    most = nodes.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    while not rounds[-1].where("up is not null").isEmpty() and 1 << len(rounds) - 1 <= most:
+        now = rounds[-1]
+        above = now.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("up").alias("next"), F.col("dist").alias("more"), F.col("total").alias("plus"))
+        jump = now.join(above, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("up") == F.col("n")), "left")
+        rounds.append(keep(jump.select("conv_id", "node", F.col("next").alias("up"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), (F.col("total") + F.coalesce("plus", F.lit(0.0))).alias("total")), "pointers"))
+    return rounds
+
+
+def paths(nodes: DataFrame, keep_branches: int = 1) -> DataFrame:
+    """conv_id, branch, score, node, place (from 1, the root's) of every node of each conversation's best branches."""
+    rounds = pointers(nodes)
+    rooted = rounds[-1].where("up is null")
+    parents = nodes.where("parent is not null").select(F.col("conv_id").alias("c"), F.col("parent").alias("n"))
+    leaves = rooted.join(parents, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n")), "left_anti").withColumn("score", F.col("total") / F.col("dist"))
+    order = Window.partitionBy("conv_id").orderBy(F.desc("score"), "node")
+    best = leaves.withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= keep_branches)
+    steps = best.select("conv_id", "branch", "score", "node")
+    for jumps in reversed(rounds[:-1]):
+        above = jumps.where("up is not null").select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "up")
+        met = steps.join(above, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n")), "left")
+        steps = met.select("conv_id", "branch", "score", F.explode(F.array_compact(F.array("node", "up"))).alias("node"))
+    depth = rooted.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("dist").alias("place"))
+    return steps.join(depth, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n"))).select("conv_id", "branch", "score", "node", "place")
 
 
 def format_turns(turns: Column) -> Column:
@@ -83,12 +99,10 @@ def conversations(nodes: DataFrame, keep_branches: int = 1) -> DataFrame:
     """conv_id, branch (from 1), score, formatted, loss: the best branches of each conversation. nodes: conv_id, node, parent, role, text, score."""
     row = F.struct("parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "score")
     nodes = keep(nodes.groupBy("conv_id", "node").agg(F.min(row).alias("r")).select("conv_id", "node", "r.*"), "replies")
-    order = Window.partitionBy("conv_id").orderBy(F.desc("score"), "path")
-    best = branches(nodes).withColumn("branch", F.row_number().over(order)).where(F.col("branch") <= keep_branches)
-    steps = best.select("conv_id", "branch", F.col("score").alias("mean"), F.posexplode("path").alias("place", "step"))
-    texts = nodes.select(F.col("conv_id").alias("c"), "node", "role", "text")
-    placed = steps.join(texts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("step") == F.col("node")))
-    turns = placed.groupBy("conv_id", "branch").agg(F.first("mean").alias("score"), F.array_sort(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
+    steps = paths(nodes.select("conv_id", "node", "parent", "score"), keep_branches)
+    texts = nodes.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "role", "text")
+    placed = steps.join(texts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n")))
+    turns = placed.groupBy("conv_id", "branch").agg(F.first("score").alias("score"), F.array_sort(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
     return turns.select("conv_id", "branch", "score", format_turns(F.col("turns")).alias("formatted"), loss_spans(F.col("turns")).alias("loss"))
 
 
