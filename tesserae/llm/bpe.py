@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Stretches a worker remembers, and the longest of them in bytes; texts are worked on in groups of so many bytes.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 250_000
 MEMO_BYTES = 64
-GROUP_BYTES = 3_000_000
+GROUP_BYTES = 1_200_000
 #: Longer words go through the scalar program: the columnar one takes a step for each place of its longest word.
 COLUMN_BYTES = 192
 #: The end-of-word form of byte b is written chr(END + b) inside this module.
