@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tesserae.llm import bpe
+from tesserae.session import keep
 
-BLOCK = 1024
+BLOCK = 128
 
 
 def histogram(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -27,6 +28,7 @@ def histogram(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
 def suffix_sums(counts: DataFrame) -> DataFrame:
     """For each length that occurs, taken as a context limit: documents and tokens at or above it, documents above it, the share at or below
     it, and all tokens once every document is cut there. Between two lengths the cut total grows by ``docs_over`` a token."""
+    counts = keep(counts, "histogram")  # read twice; its documents are encoded once
     rows = counts.select("n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"), F.floor(F.col("n_tokens") / BLOCK).alias("block"))
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
