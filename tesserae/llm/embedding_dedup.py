@@ -30,23 +30,31 @@ from tesserae.session import keep
 CHUNK = 2048
 #: Bounds are compared with this much room; what falls into it is decided by the threshold itself.
 SLACK = 1e-9
+#: Room in squared distances for each component of a vector: a product of two vectors of one direction may be rounded to 1 or beyond.
+ROUNDED = 1e-15
 
 
 class CoverTree:
-    """Over unit vectors. ``levels`` go from the root to single vectors; a node is its centre, covering radius and children."""
+    """Over unit vectors. ``levels`` go from the root to single vectors; a node is its centre, covering radius and children.
+
+    ``single`` says of each level's nodes which hold one vector only: a radius doesn't tell, as distinct vectors may point the same way.
+    """
 
     def __init__(self, x: np.ndarray) -> None:
         self.x, n = x, len(x)
         centre, owner, radius = np.zeros(1, np.int64), np.zeros(n, np.int64), 2.0
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self.single: list[np.ndarray] = []
         self.children: list[tuple[np.ndarray, np.ndarray]] = []
         self.members: list[tuple[np.ndarray, np.ndarray]] = []
         while True:
-            away = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", x, x[centre[owner]])))
+            away = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", x, x[centre[owner]])) + ROUNDED * x.shape[1])
             cover = np.zeros(len(centre))
             np.maximum.at(cover, owner, away)
-            cover[np.bincount(owner, minlength=len(centre)) == 1] = 0
+            single = np.bincount(owner, minlength=len(centre)) == 1
+            cover[single] = 0
             self.levels.append((centre, cover))
+            self.single.append(single)
             order = np.argsort(owner, kind="stable")
             self.members.append((order, np.searchsorted(owner[order], np.arange(len(centre) + 1))))
             if len(centre) == n:
@@ -124,7 +132,7 @@ def linked(a: CoverTree, b: CoverTree, cosine: float, weight_a: np.ndarray, weig
         (ca, ra), (cb, rb) = a.levels[la], b.levels[lb]
         dots = _dots(a.x, b.x, ca[i], cb[j])
         gap, room = np.sqrt(np.maximum(0, 2 - 2 * dots)), ra[i] + rb[j]
-        single = room == 0
+        single = a.single[la][i] & b.single[lb][j]
         pair = np.flatnonzero(single & (dots >= cosine))
         x, y = ca[i[pair]], cb[j[pair]]
         if same:

@@ -52,6 +52,21 @@ def test_links_of_null_ids_and_no_rows(spark):
     assert rows(embedding_dedup.near_duplicates(df.limit(0))) == []
 
 
+@pytest.mark.parametrize("chunk", [2048, 37])
+def test_links_of_vectors_that_point_the_same_way(spark, chunk):
+    """v and 2v, and v with a component moved by the least step, are distinct vectors whose product may be rounded to 1."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(120, 64)).astype(np.float32)
+    moved = base.copy()
+    moved[:, 0] = np.nextafter(moved[:, 0], np.float32(np.inf))
+    around = base[:30] + rng.normal(size=(30, 64)).astype(np.float32) * np.float32(0.2)
+    x = np.concatenate([base, base * 2, moved, around])
+    labels = [i % 120 % 2 for i in range(len(x))]
+    df = spark.createDataFrame([(i, v.tolist(), l) for i, (v, l) in enumerate(zip(x, labels))], "vec_id long, embedding array<float>, label int")
+    got = sorted(tuple(r) for r in embedding_dedup.near_duplicates(df, 0.93, chunk=chunk).collect())
+    assert got == slow_links(x, labels, 0.93)
+
+
 def test_cover_tree_is_nested():
     x = clusters(np.random.default_rng(3)).astype(float)
     x /= np.linalg.norm(x, axis=1)[:, None]
