@@ -8,6 +8,7 @@ product for all documents of a cell with a segmented maximum.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -60,8 +61,18 @@ def segmented(q: np.ndarray, qs: np.ndarray, d: np.ndarray, ds: np.ndarray) -> n
     return out
 
 
-def topk_cells(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
-    """qid, doc_id, score: at least each query's k best, at most k of every cell; by matrix products."""
+def rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """As F.round has it: the shortest decimal, halves away from zero."""
+    values, at = np.unique(x, return_inverse=True)
+    unit = Decimal(1).scaleb(-digits)
+    return np.array([float(Decimal(repr(v)).quantize(unit, ROUND_HALF_UP)) if abs(v) < 1e15 else v for v in values.tolist()], np.float64)[at]
+
+
+def topk_cells(queries: DataFrame, documents: DataFrame, k: int, digits: int | None = None) -> DataFrame:
+    """qid, doc_id, score: at least each query's k best, at most k of every cell; by matrix products.
+
+    ``digits``: the best are those by scores rounded so, ties by doc_id; the scores themselves are passed on as they are.
+    """
     q, d = grid(queries.select("qid", "toks"), documents.select("doc_id", "toks"))
     q = q.select("a", "b", F.lit(0).alias("side"), F.col("qid").alias("id"), "toks")
     d = d.select("a", "b", F.lit(1).alias("side"), F.col("doc_id").alias("id"), "toks")
@@ -77,8 +88,10 @@ def topk_cells(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
             for i, own in enumerate(score):
                 # Ties at the k-th place all pass; the window decides by id.
                 least = np.partition(own, -k)[-k] if len(own) > k else -np.inf
-                best = np.flatnonzero(own >= least)
-                best = best[np.lexsort((ids[best], -own[best]))[:k]]
+                # What is rounded to no less than the k-th is about a unit below it at most.
+                best = np.flatnonzero(own >= least - (0 if digits is None else 2 * 10.0**-digits))
+                by = own[best] if digits is None else rounded(own[best], digits)
+                best = best[np.lexsort((ids[best], -by))[:k]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), qids[i])), pa.array(ids[best]), pa.array(own[best])], ["qid", "doc_id", "score"])
 
     parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -207,7 +207,7 @@ def chamfer_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 @register(ORACLES["chamfer_topk"])
 def chamfer_gemm_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return chamfer.ranked(chamfer.topk_cells(*_clouds(spark, folder), K + 5), K, DIGITS)
+    return chamfer.ranked(chamfer.topk_cells(*_clouds(spark, folder), K, DIGITS), K, DIGITS)
 
 
 @register(f"with {_ENCODED}, {_LISTS} select doc_id, list_id from ia")

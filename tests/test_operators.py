@@ -379,3 +379,14 @@ def test_kept_tables(spark):
     assert kept.count() == 5 and "file:" in kept.inputFiles()[0]
     other = spark.newSession()
     assert session.shared_folder(other) == session.shared_folder(spark)
+
+
+def test_gemm_topk_of_clouds_that_tie_when_rounded(spark, monkeypatch):
+    """Forty near-copies whose scores differ below the sixth digit, the smallest ids the least: the smallest ids are the best."""
+    from tesserae.plans import catalog
+
+    q = spark.createDataFrame([(0, [[1.0, 0.0]])], "qid long, toks array<array<double>>")
+    d = spark.createDataFrame([(i, [[0.5 + 1e-9 * i, 1.0]]) for i in range(40)] + [(40, [[0.75, 0.0]])], "doc_id long, toks array<array<double>>")
+    monkeypatch.setattr(catalog, "_clouds", lambda spark, folder: (q, d))
+    got = [sorted((r.rank, r.doc_id, r.score) for r in f(spark, "").collect()) for f in (catalog.chamfer_gemm_topk, catalog.chamfer_topk)]
+    assert got[0] == got[1] and [i for _, i, _ in got[0]] == [40, *range(9)]
