@@ -8,7 +8,9 @@ most 4 bits agree on at least two of six blocks, so each fingerprint goes to one
 A bucket of more than ``BUCKET_ROWS`` fingerprints is dealt into chunks and every pair of its chunks becomes a bucket of its own, so
 that no task has more than two chunks of it.
 
-Within a bucket: fingerprints are sorted by Gray rank, so neighbours share bits; leaves of ``LEAF`` fingerprints and upper nodes of
+Buckets of up to ``SMALL_RUN`` fingerprints, nearly all where texts are unlike, are compared all with all: the blocks do the search there.
+
+Within a larger bucket: fingerprints are sorted by Gray rank, so neighbours share bits; leaves of ``LEAF`` fingerprints and upper nodes of
 ``FAN`` children hold the bits that all below share (mask and pattern). Going down two nodes at once, the shared bits that differ are a
 lower bound of the distance of any two fingerprints below, and a pair of nodes beyond ``max_bits`` goes as a whole. So does a pair of
 leaves that are already one component. What leaves a task is a spanning forest, never pairs.
