@@ -4,7 +4,8 @@ Every document's ids end with an id of their own and only a document longer than
 by itself; the rest are packed in partitions, each by best-fit decreasing, and each partition's number of bins is compared with the
 greatest of the dual-feasible-function bounds of its lengths: no packing of those lengths needs fewer. A partition whose bins reach the
 bound is done. Partitions with a gap exchange: the pieces of all their bins that are not full are dealt anew over fewer partitions and
-best-fit decreasing runs again. That goes on until no partition has a gap, or until a round saves nothing.
+best-fit decreasing runs again. That goes on until no partition has a gap, or until a round needs no fewer bins than the same pieces had,
+whose earlier placement then stays.
 
 A partition is given by its lengths alone (a count for each length up to the capacity), and pieces of one length are alike, so tasks pack
 counts and hand out bins to pieces afterwards. Partitions hold ``group`` pieces on average however many there are, and no key or source
@@ -28,7 +29,6 @@ from tesserae.llm import bpe
 from tesserae.session import keep
 
 GROUP = 16_000
-ROUNDS = 4
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
@@ -118,29 +118,33 @@ def _pack(pieces: DataFrame, parts: int, capacity: int, turn: int) -> DataFrame:
     return dealt.repartition(tasks, "part").mapInArrow(run, _SCHEMA)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int, group: int = GROUP, rounds: int = ROUNDS) -> DataFrame:
+def pack_pieces(pieces: DataFrame, capacity: int, group: int = GROUP) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32), lengths from 1 to capacity."""
     pieces = keep(pieces, "pieces")
     full = pieces.where(F.col("length") == capacity).select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    todo, done, packed = pieces.where(F.col("length") < capacity), [], None
-    last = None
-    for turn in range(rounds):
+    todo, done, turn = pieces.where(F.col("length") < capacity), [], 0
+    # What the round at hand may replace, and its bins.
+    old, many = None, 0
+    moves = (F.col("gap") > 0) & (F.col("room") > 0)
+    while True:
         parts = max(1, -(-todo.count() // group))
-        packed = keep(_pack(todo, parts, capacity, turn), "packed")
-        seen = packed.groupBy("part").agg(F.max("gap").alias("gap")).agg(F.sum("gap").alias("gap"), F.count("*").alias("parts")).first()
-        if not seen.gap or turn == rounds - 1 or last is not None and seen.gap >= last:
+        packed = keep(_pack(todo, parts, capacity, turn), "packed").withColumn("turn", F.lit(turn))
+        own = packed.groupBy("part").agg(F.max("gap").alias("gap"), (F.max("bin") + 1).alias("bins"), F.count_distinct(F.when(moves, F.col("bin"))).alias("moved"))
+        seen = own.agg(F.sum("gap").alias("gap"), F.sum("bins").alias("bins"), F.sum("moved").alias("moved")).first()
+        if old is not None and (seen.bins or 0) >= many:
+            done.append(old)
             break
-        last = seen.gap
-        stay = packed.where((F.col("gap") == 0) | (F.col("room") == 0))
-        move = packed.where((F.col("gap") > 0) & (F.col("room") > 0))
-        done.append(stay.withColumn("turn", F.lit(turn)))
-        todo = move.select("doc_id", "piece", "start", "length", "ids_crc32")
-    done.append(packed.withColumn("turn", F.lit(turn)))
+        if not seen.gap:
+            done.append(packed)
+            break
+        done.append(packed.where(~moves))
+        old, many = packed.where(moves), seen.moved
+        todo, turn = old.select("doc_id", "piece", "start", "length", "ids_crc32"), turn + 1
     binned = done[0]
     for d in done[1:]:
         binned = binned.unionByName(d)
     # Turn, group and bin number in one long; full pieces are numbered below zero.
-    number = (F.col("turn").cast("long") * (1 << 58)) + F.col("part") * (1 << 24) + F.col("bin")
+    number = (F.col("turn").cast("long") * (1 << 50)) + F.col("part") * (1 << 24) + F.col("bin")
     return binned.select("doc_id", "piece", "start", "length", "ids_crc32", number.alias("sequence_id"), "offset").unionByName(full.withColumn("sequence_id", -1 - F.col("sequence_id")))
 
 

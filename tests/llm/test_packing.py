@@ -51,6 +51,23 @@ def test_packing_is_whole_and_near_its_bound(spark, group):
     assert bound <= used <= bound * (1.08 if group == 50 else 1.02) + 1
 
 
+def test_a_round_that_saves_nothing_is_not_taken_over(spark, monkeypatch):
+    """From the second round on every piece is a group, and so a bin, of its own: no group has a gap, but there are more bins."""
+    deal, first = packing._pack, []
+
+    def poor(pieces, parts, capacity, turn):
+        out = deal(pieces, 1 << 20 if turn else parts, capacity, turn)
+        if not turn:
+            first.append(out.select("part", "bin").distinct().count())
+        return out
+
+    monkeypatch.setattr(packing, "_pack", poor)
+    lengths = np.random.default_rng(4).integers(550, 1100, 400)
+    pieces = [(int(i), 0, 0, int(n), int(i)) for i, n in enumerate(lengths)]
+    df = spark.createDataFrame(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    assert check(rows(packing.pack_pieces(df, 2048, 30)), pieces, 2048) <= first[0]
+
+
 def test_bounds_hold_against_every_packing():
     """The least number of bins by search, for small cases."""
 
