@@ -7,6 +7,7 @@ document is then scored whole, in windows, wherever it lies; nothing is shuffled
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -14,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 MAX_SAMPLE_BYTES = 60_000
 
@@ -63,17 +65,20 @@ class Logistic:
 def sample(docs: DataFrame, labels: DataFrame, label: str, fold: Fold, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[int, list[bytes]], float]:
     """Texts by label from the rows not held out, in order of a hash of their id, and the share of label 1 among all such rows.
 
-    ``2 * per_class`` ids at most are broadcast and as many texts collected, each of at most MAX_SAMPLE_BYTES.
+    ``2 * per_class`` texts at most are collected, each of at most MAX_SAMPLE_BYTES. Only rows that docs holds, and whose text is of that
+    size, count towards the bound.
     """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where(F.octet_length("text").between(1, MAX_SAMPLE_BYTES))
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.where(~fold.held_out("doc_id")).dropDuplicates(["doc_id"])
     count = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    picked = None
+    here = known.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
+    picked = []
     for y in (0, 1):
-        some = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        picked = some if picked is None else picked.unionByName(some)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).where(F.octet_length("text").between(1, MAX_SAMPLE_BYTES))
-    rows = texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).collect()
+        picked += [(r.doc_id, y) for r in here.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id").limit(per_class).collect()]
+    ids = docs.sparkSession.createDataFrame(picked, "doc_id long, y int")
+    # Of rows that repeat an id the smallest text counts.
+    rows = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: r.doc_id)
     return {y: [bytes(r.text) for r in rows if r.y == y] for y in (0, 1)}, count.get(1, 0) / max(1, sum(count.values()))
 
@@ -83,16 +88,35 @@ def windows(data: bytes, size: int, overlap: int) -> list[bytes]:
     return [data[i : i + size] for i in range(0, max(1, len(data) - overlap), size - overlap)]
 
 
-def train(samples: list[bytes], size: int) -> bytes:
-    """A trained dictionary's bytes; where there is too little text for the trainer, the text itself."""
+def train(samples: list[bytes], size: int, segment: int = 0) -> bytes:
+    """A trained dictionary's bytes; where there is too little text for the trainer, the text itself.
+
+    ``segment``: the length in bytes of the pieces that the trainer chooses; 0 lets it try several.
+    """
     import zstandard
 
+    how = dict(k=segment, d=6 if segment < 64 else 8, f=20, accel=1) if segment else {}
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples, **how).as_bytes()
     except (zstandard.ZstdError, ValueError):
         return b"".join(samples)[-size:]
 
 
+#: What zstandard's trainer writes between a dictionary's entropy tables and its content.
+_OFFSETS = b"".join(n.to_bytes(4, "little") for n in (1, 4, 8))
+
+
+def content(dictionary: bytes) -> bytes:
+    """The text that a trained dictionary holds, without its tables."""
+    at = dictionary.find(_OFFSETS)
+    return dictionary[at + len(_OFFSETS) :] if at >= 0 else dictionary
+
+
+def fold_of(texts: list[bytes], folds: int) -> np.ndarray:
+    """A fold for each text, by its content: equal texts are in one fold."""
+    return np.array([zlib.crc32(x) // 8 % folds for x in texts], np.int64)
+
+
 def compressor(dictionary: bytes, raw: bool, **parameters: int) -> Callable[[bytes], bytes]:
     """Compression of single windows, in frames without optional fields. ``raw``: the dictionary is content alone; else it is a trained
     one, whose entropy tables serve too."""
@@ -122,16 +146,21 @@ def scores(docs: DataFrame, scorer: Callable[[], Callable[[list[bytes]], np.ndar
 
 
 def keep_documents(docs: DataFrame, scorer: Callable[[], Callable[[list[bytes]], np.ndarray]], good: Callable[[np.ndarray], np.ndarray], text_col: str = "text") -> DataFrame:
-    """The rows whose text's score is ``good``, all columns and types as they were; scored in passing, without a join."""
-    at = docs.columns.index(text_col)
+    """The rows whose text's score is ``good``, all columns and types as they were; scored in passing, without a join.
+
+    Python sees strings as bytes, so one that isn't valid UTF-8 passes like any other.
+    """
+    at, strings = docs.columns.index(text_col), [f.name for f in docs.schema if f.dataType == StringType()]
+    as_bytes = docs.withColumns({c: F.col(f"`{c}`").cast("binary") for c in strings}) if strings else docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = scorer()
         for b in batches:
             stay = np.empty(0, bool)
             for k in range(0, b.num_rows, 256):
-                texts = [(x or "").encode() for x in b.column(at).slice(k, 256).to_pylist()]
+                texts = [x or b"" for x in b.column(at).slice(k, 256).to_pylist()]
                 stay = np.concatenate([stay, good(of(texts))])
             yield b.filter(pa.array(stay))
 
-    return docs.mapInArrow(run, docs.schema)
+    kept = as_bytes.mapInArrow(run, as_bytes.schema)
+    return kept.select([F.col(f"`{f.name}`").cast("string").alias(f.name) if f.name in strings else F.col(f"`{f.name}`") for f in docs.schema])
