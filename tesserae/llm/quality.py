@@ -1,9 +1,12 @@
 """Quality by compression: zstandard dictionaries of good and of bad labelled text, and the normalised difference of compressed sizes.
 
-Each text is compressed whole, in windows, with either dictionary. With g and b the bytes with the good and the bad one, (b - g) /
-(b + g) says which class's text it resembles; it is taken over the whole text and at its lowest and highest fifth of windows. How far
-the windows shrink at all, at the middle and the lowest, tells repetitive text from prose whatever its words. A logistic calibration
-makes the score.
+Both dictionaries are zstandard's own training, on all windows of the class's samples. Each text is compressed whole, in windows, with either
+one. With g and b the bytes with the good and the bad one, (b - g) / (b + g) and (b - g) over the window's own length say which class's text
+it resembles; both are taken over the whole text and at quantiles of its windows. These differences, and nothing else but the reach of the
+text (one over the root of its length), go through a logistic calibration to a score. It is fitted out of fold: a training row's
+differences come from dictionaries that were trained on the other ``FOLDS - 1`` folds.
+
+Bounds: ``PER_CLASS`` training rows a class, the size of the dictionaries. Within the sample nothing is left out.
 
 Edge cases: null and empty texts are one empty window; without labels of both classes every score is the share of label 1 (0.5 where
 there is no label at all); null ids are kept and count as not held out; repeated rows get equal scores.
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from tesserae.llm import compression
 from tesserae.llm.compression import Fold, Logistic
 
-WINDOW, DICTIONARY_BYTES, PER_CLASS = 400, 16_384, 1500
+WINDOW, DICTIONARY_BYTES, SEGMENT, PER_CLASS, FOLDS = 200, 65_536, 24, 1500, 4
 
 
 @dataclass
@@ -32,21 +35,19 @@ class Model:
     def features(self) -> Callable[[list[bytes]], np.ndarray]:
         import zstandard
 
-        chosen = dict(window_log=16, hash_log=15, chain_log=15, search_log=3, min_match=4, target_length=16, strategy=zstandard.STRATEGY_GREEDY)
+        chosen = dict(window_log=18, hash_log=16, chain_log=16, search_log=3, min_match=4, target_length=16, strategy=zstandard.STRATEGY_GREEDY)
         good, bad = compression.compressor(self.good, False, **chosen), compression.compressor(self.bad, False, **chosen)
 
         def of(texts: list[bytes]) -> np.ndarray:
-            out = np.empty((len(texts), 6))
+            out = np.empty((len(texts), 10))
             for i, x in enumerate(texts):
                 parts = compression.windows(x, WINDOW, 0)
-                if len(parts) > 1 and len(parts[-1]) < WINDOW // 2:
-                    parts[-2:] = [parts[-2] + parts[-1]]
                 g = np.array([len(good(w)) for w in parts], float)
                 b = np.array([len(bad(w)) for w in parts], float)
                 n = np.array([len(w) + 16 for w in parts], float)
-                each, shrunk = (b - g) / (b + g), np.minimum(g, b) / n
-                out[i] = (b.sum() - g.sum()) / (b.sum() + g.sum()), each.min(), np.quantile(each, 0.2), shrunk.min(), np.median(shrunk), 1 / np.sqrt(n.sum())
-            return np.column_stack([out, out[:, 0] ** 2, np.maximum(0, 0.35 - out[:, 4]), np.maximum(0, 0.25 - out[:, 4])])
+                low, high, size = (b - g).sum(), (b + g).sum(), n.sum()
+                out[i] = low / high, *np.quantile((b - g) / (b + g), (0, 0.1, 0.25, 0.5, 1)), low / size, *np.quantile((b - g) / n, (0.1, 0.9)), 1 / np.sqrt(size)
+            return out
 
         return of
 
@@ -55,14 +56,23 @@ class Model:
         return lambda texts: logistic.score(of(texts))
 
 
+def _dictionary(texts: list[bytes]) -> bytes:
+    return compression.train([w for x in texts for w in compression.windows(x, WINDOW, 0)], DICTIONARY_BYTES, SEGMENT)
+
+
 def fit(samples: dict[int, list[bytes]], prior: float) -> Model:
-    built = {y: compression.train([x[i : i + WINDOW] for x in samples[y] for i in range(0, len(x), 4 * WINDOW)], DICTIONARY_BYTES) for y in (0, 1)}
-    model = Model(built[1], built[0], Logistic())
-    if samples[0] and samples[1]:
-        model.logistic = Logistic.fit(model.features()([*samples[1], *samples[0]]), np.array([1] * len(samples[1]) + [0] * len(samples[0])), prior)
-    elif samples[0] or samples[1]:
-        model.logistic = Logistic(weight=np.array([np.log((prior + 1e-3) / (1 - prior + 1e-3))]))
-    return model
+    good, bad = samples[1], samples[0]
+    if not good or not bad:
+        known = bool(good or bad)
+        return Model(b"", b"", Logistic(weight=np.array([np.log((prior + 1e-3) / (1 - prior + 1e-3))])) if known else Logistic())
+    texts, label = [*good, *bad], np.array([1] * len(good) + [0] * len(bad))
+    fold, x = compression.fold_of(texts, FOLDS), np.zeros((len(texts), 10))
+    for k in range(FOLDS):
+        own = np.flatnonzero(fold == k)
+        built = [_dictionary([texts[i] for i in np.flatnonzero((fold != k) & (label == y))]) for y in (1, 0)]
+        if len(own):
+            x[own] = Model(*built, Logistic()).features()([texts[i] for i in own])
+    return Model(_dictionary(good), _dictionary(bad), Logistic.fit(x, label, prior))
 
 
 #: crc32(doc_id) mod 5 = 0 is held out.
