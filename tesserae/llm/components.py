@@ -2,7 +2,7 @@
 
 Every round is two joins and two aggregations whose results are written to the shared folder, so no round depends on an executor that
 may be lost. Edges are first contracted inside their partitions (a forest of at most one edge a node). A node's neighbours are never
-gathered: a hub is met by an aggregated minimum and a join that Spark may split.
+gathered: a hub's minimum is an aggregation with partial sums, and the minima of hubs, of which there are few, are broadcast to its edges.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm import skew
 from tesserae.session import keep
 
 
@@ -60,6 +61,11 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[open_], pa.int64()), pa.array(low[open_], pa.int64())], ["u", "v"])
 
 
+def _sum(pairs: DataFrame) -> tuple:
+    """Number of the edges and a sum over them, to tell two rounds apart."""
+    return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def components(edges: DataFrame, contracted: bool = False, max_rounds: int = 60) -> DataFrame:
     """node, root (the smallest node reachable) for every node of ``edges`` (two long columns). Nulls and loops are left out."""
     a, b = edges.columns[:2]
@@ -67,18 +73,23 @@ def components(edges: DataFrame, contracted: bool = False, max_rounds: int = 60)
     if not contracted:
         pairs = pairs.mapInArrow(_contract, "u long, v long")
     pairs = keep(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    seen = _sum(pairs)
+    edges_now = seen[0]
     for _ in range(max_rounds):
         # Large star: what lies above a node moves to the smallest of its neighbourhood.
         both = pairs.select("u", "v").unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = keep(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("many")), "least")
+        large = skew.join_unique(both.where("v > u"), low, ["u"], "many", 2 * edges_now).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = keep(large, "large")
         # Small star: what lies below a node, and the node, move to the smallest of those.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
+        least = keep(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("many")), "least")
+        met = skew.join_unique(large, least, ["u"], "many", large.count())
+        small = met.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         new = keep(small, "edges")
-        seen, now = ((x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()) for x in (pairs, new))
-        pairs = new
-        if tuple(seen) == tuple(now):
+        now = _sum(new)
+        pairs, settled = new, now == seen
+        seen, edges_now = now, now[0]
+        if settled:
             break
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -3,17 +3,17 @@
 A document's fingerprint has a bit for each of the 64 places of its shingles' XXH64: set if over half of the hashes set it. Documents
 are linked when their fingerprints differ in at most ``max_bits`` places; the result is the connected components of those links.
 
-Distribution: only distinct fingerprints are compared. The 64 bits are cut into ``BLOCKS`` blocks; two fingerprints that differ in at
-most 4 bits agree on at least two of six blocks, so each fingerprint goes to one bucket for every pair of blocks and no link is lost.
-A bucket of more than ``BUCKET_ROWS`` fingerprints is dealt into chunks and every pair of its chunks becomes a bucket of its own, so
-that no task has more than two chunks of it.
-
-Buckets of up to ``SMALL_RUN`` fingerprints, nearly all where texts are unlike, are compared all with all: the blocks do the search there.
-
-Within a larger bucket: fingerprints are sorted by Gray rank, so neighbours share bits; leaves of ``LEAF`` fingerprints and upper nodes of
-``FAN`` children hold the bits that all below share (mask and pattern). Going down two nodes at once, the shared bits that differ are a
-lower bound of the distance of any two fingerprints below, and a pair of nodes beyond ``max_bits`` goes as a whole. So does a pair of
-leaves that are already one component. What leaves a task is a spanning forest, never pairs.
+Distribution: only distinct fingerprints are compared. The 64 bits are cut into six blocks; two fingerprints that differ in at most 4 bits
+agree on at least two of them, so each fingerprint goes to one shard for every pair of blocks (a mask), by its bits there, and no link is
+lost. Bits that more than ``BUCKET_ROWS`` fingerprints share are dealt into chunks whose pairs are shards of their own, so that no task has
+more than two chunks of them.
+
+Within a shard one index holds all fingerprints of a mask: they are sorted by the Gray rank of the masked bits, then of all bits, so
+neighbours share bits. Leaves of ``LEAF`` fingerprints and upper nodes of ``FAN`` children hold the bits that all below share (mask and
+pattern). Going down two nodes at once, the shared bits that differ are a lower bound of the distance of any two fingerprints below, and a
+pair of nodes beyond ``max_bits`` goes as a whole; so does a pair that differs in a shared bit of the mask, as its links are another
+mask's. What is left at the leaves is compared, unless both leaves are already one component. What leaves a task is a spanning forest, never
+pairs.
 
 Edge cases: null and empty texts have no words and the fingerprint zero, which links like any other; a text of fewer words than a
 shingle is one shingle; a null doc_id keeps its row and counts for no component's smallest id; a component of null ids only has a null
@@ -30,11 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm import skew
 from tesserae.llm.components import Forest, components
+from tesserae.operators import blocks
 from tesserae.session import keep
 
 LEAF, FAN, BUCKET_ROWS = 32, 8, 4096
-SMALL_RUN = 48
 
 
 def fingerprint(data: bytes, shingle: int = 4, seed: int = 42) -> int:
@@ -110,12 +111,14 @@ class GrayIndex:
         """Mask of the shared bits, and their pattern."""
         return ~(a ^ o), a
 
-    def links(self, forest: Forest, member: np.ndarray, bits: int) -> None:
-        top = len(self.levels[-1][0])
+    def links(self, forest: Forest, member: np.ndarray, bits: int, agreed: int = 0) -> None:
+        """``agreed``: pairs that differ in one of these bits need not be found."""
+        top, must = len(self.levels[-1][0]), np.uint64(agreed)
         i, j = np.triu_indices(top)
         for level in range(len(self.levels) - 1, -1, -1):
             mask, pattern = self.levels[level]
-            near = np.bitwise_count((pattern[i] ^ pattern[j]) & mask[i] & mask[j]) <= bits
+            apart = (pattern[i] ^ pattern[j]) & mask[i] & mask[j]
+            near = (np.bitwise_count(apart) <= bits) & (apart & must == 0)
             i, j = i[near], j[near]
             if level:
                 below = len(self.levels[level - 1][0])
@@ -126,40 +129,23 @@ class GrayIndex:
         i, j = i[order], j[order]
         n, place = len(self.prints), np.arange(LEAF)
         for at in range(0, len(i), 1024):
-            p, q = i[at : at + 1024], j[at : at + 1024]
-            label = forest.find(member)
-            starts = np.arange(0, n, LEAF)
-            low, high = np.minimum.reduceat(label, starts), np.maximum.reduceat(label, starts)
-            open_ = ~((low[p] == high[p]) & (low[q] == high[q]) & (low[p] == low[q]))
-            p, q = p[open_], q[open_]
-            if not len(p):
-                continue
-            x, y = p[:, None] * LEAF + place, q[:, None] * LEAF + place
-            near = np.bitwise_count(self.prints[np.minimum(x, n - 1)][:, :, None] ^ self.prints[np.minimum(y, n - 1)][:, None, :]) <= bits
-            near &= (x < n)[:, :, None] & (y < n)[:, None, :]
+            x, y = (np.minimum(leaf[at : at + 1024, None] * LEAF + place, n - 1) for leaf in (i, j))
+            roots = forest.find(member[np.concatenate([x, y], axis=1)])
+            open_ = roots.min(1) != roots.max(1)
+            x, y = x[open_], y[open_]
+            near = np.bitwise_count(self.prints[x][:, :, None] ^ self.prints[y][:, None, :]) <= bits
             k, u, v = np.nonzero(near)
             forest.join(member[x[k, u]], member[y[k, v]])
 
 
-def link_buckets(cells: np.ndarray, prints: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of (bucket, fingerprint) to a spanning forest of the links inside buckets: fingerprints and their roots."""
-    order = np.lexsort((gray_rank(prints), cells))
-    cells, prints = cells[order], prints[order]
-    nodes, member = np.unique(prints, return_inverse=True)
-    forest = Forest(len(nodes))
-    at = np.flatnonzero(np.diff(cells, prepend=cells[:1] + np.uint64(1)))
-    size = np.diff(np.append(at, len(cells)))
-    for a, n in zip(at[size > SMALL_RUN].tolist(), size[size > SMALL_RUN].tolist()):
-        GrayIndex(prints[a : a + n]).links(forest, member[a : a + n], bits)
-    # Runs no longer than a leaf or so: each row against the rows after it in its run, all runs at once.
-    small = (size > 1) & (size <= SMALL_RUN)
-    row, end = np.repeat(at[small], size[small]), np.repeat((at + size)[small], size[small])
-    row = row + np.arange(len(row)) - np.repeat(np.cumsum(size[small]) - size[small], size[small])
-    for step in range(1, int(size[small].max(initial=1))):
-        ok = row + step < end
-        row, end = row[ok], end[ok]
-        near = row[np.bitwise_count(prints[row] ^ prints[row + step]) <= bits]
-        forest.join(member[near], member[near + step])
+def link_shard(prints: np.ndarray, bits: int, mask: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links among fingerprints that agree under the mask (more links may count): fingerprints and their roots."""
+    prints = np.unique(prints)
+    prints = prints[np.lexsort((gray_rank(prints), gray_rank(prints & np.uint64(mask))))]
+    # Roots are places in the order of the numbers, so the smallest fingerprint is the root.
+    nodes = np.sort(prints)
+    forest, member = Forest(len(prints)), np.searchsorted(nodes, prints)
+    GrayIndex(prints).links(forest, member, bits, mask)
     root = forest.labels()
     open_ = root != np.arange(len(nodes))
     return nodes[open_], nodes[root[open_]]
@@ -178,30 +164,22 @@ def links(prints: DataFrame, max_bits: int = 4, bucket_rows: int = BUCKET_ROWS)
         dealt = spread.select("fp", "m", "k", F.least("s", "o").alias("s"), F.greatest("s", "o").alias("t")).withColumn("cell", F.xxhash64("m", "k", "s", "t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not sum(b.num_rows for b in held):
-            return
-        cols = [np.concatenate([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for b in held]) for c in range(5)]
-        # The bucket's own number within this task; the columns, not a hash, tell buckets apart.
-        order = np.lexsort(cols[1:])
-        new = np.zeros(len(order), bool)
-        for c in cols[1:]:
-            new[1:] |= np.diff(c[order]) != 0
-        cell = np.empty(len(order), np.uint64)
-        cell[order] = np.cumsum(new).astype(np.uint64)
-        u, v = link_buckets(cell, cols[0].view(np.uint64), max_bits)
-        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+        for t in blocks.cells(batches, 3):
+            u, v = link_shard(t.column("fp").to_numpy().view(np.uint64), max_bits, masks[t.column("m")[0].as_py()])
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "cell").select("fp", "m", "k", "s", "t").mapInArrow(run, "u long, v long")
+    return dealt.repartition(parts, "cell").select("m", "s", "t", "fp").sortWithinPartitions("m", "s", "t").mapInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, max_bits: int = 4, shingle: int = 4, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id: the smallest doc_id reachable by links, the document's own included."""
     prints = keep(fingerprints(docs, id_col, text_col, shingle, seed), "prints")
     roots = keep(components(links(prints, max_bits), contracted=True), "roots")
-    single = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    rooted = keep(single.join(roots, single.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "rooted")
-    least = keep(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "least")
-    named = keep(rooted.join(least, "root").select("fp", "component_id"), "named")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    single = prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("many"))
+    rooted = keep(single.join(roots, single.fp == roots.node, "left").select("fp", "low", "many", F.coalesce("root", "fp").alias("root")), "rooted")
+    # A fingerprint may hold a third of all documents, and a component a third of all fingerprints.
+    least = keep(rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("prints")), "least")
+    named = keep(skew.join_unique(rooted, least, ["root"], "prints", rooted.count()).select("fp", "many", "component_id"), "named")
+    found = skew.join_unique(prints, named, ["fp"], "many", prints.count())
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -65,6 +65,41 @@ def test_gray_index_alone():
     assert (forest.labels() == brute.labels()).all()
 
 
+def test_index_prunes_by_the_mask_and_serves_every_shard(spark, monkeypatch):
+    """Shards of few fingerprints go through the index like any other, and what agrees under the mask is found."""
+    rng, asked = np.random.default_rng(8), []
+    made = simhash.GrayIndex.links
+    monkeypatch.setattr(simhash.GrayIndex, "links", lambda self, *a: (asked.append(len(self.prints)), made(self, *a))[1])
+    mask = simhash.block_masks(4)[3]
+    for n in (1, 2, 5, 40, 3000):
+        centres = rng.integers(0, 1 << 63, max(1, n // 3)).astype(np.uint64)
+        flips = np.array([sum(1 << int(b) for b in rng.choice(64, 3, replace=False)) for _ in range(n)], np.uint64)
+        prints = np.unique(np.concatenate([centres, centres[rng.integers(0, len(centres), n)] ^ flips]))
+        u, v = simhash.link_shard(prints, 4, mask)
+        forest = simhash.Forest(len(prints))
+        forest.join(np.searchsorted(prints, u), np.searchsorted(prints, v))
+        apart = prints[:, None] ^ prints
+        x, y = np.nonzero((np.bitwise_count(apart) <= 4) & (apart & np.uint64(mask) == 0))
+        got = forest.labels()
+        assert (got[x] == got[y]).all() and (np.bitwise_count(apart) <= 4)[np.searchsorted(prints, u)].any(1).all()
+    assert len(asked) == 5
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    prints = np.array([r.fp for r in simhash.fingerprints(docs).select("fp").distinct().collect()], np.int64).view(np.uint64)
+    for mask in simhash.block_masks(4):
+        simhash.link_shard(prints, 4, mask)
+    assert asked[5:] == [len(prints)] * 15
+
+
+def test_hot_keys_meet_by_broadcast(spark):
+    from tesserae.llm import skew
+
+    rows = spark.range(1000).selectExpr("if(id % 3 = 0, 7, id) as k", "id as x").unionByName(spark.createDataFrame([(None, -1)], "k long, x long"))
+    table = rows.groupBy("k").count().selectExpr("k", "count as many", "k * 2 as y")
+    want = sorted((r.k, r.x, r.k * 2) for r in rows.collect() if r.k is not None)
+    for total in (1, 1001, 1 << 40):
+        assert sorted(map(tuple, skew.join_unique(rows, table, ["k"], "many", total).collect())) == want
+
+
 def test_blocks_lose_no_pair():
     rng = random.Random(9)
     masks = simhash.block_masks(4)
