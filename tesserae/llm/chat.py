@@ -7,7 +7,8 @@ chosen paths only. Every round's pointers are written to the shared folder, so l
 
 Template, per turn: ``<|im_start|>role``, a line feed, the text, ``<|im_end|>`` and a line feed. Inside texts ``\\`` is doubled and
 ``<|`` becomes ``<\\|``, so no control string can occur in one, and back again; in roles ``%``, line feeds and ``<|`` are percent-coded.
-The loss mask is an array of spans (start, length, in characters of the formatted string) that cover the assistant texts and nothing else.
+The loss mask is an array of spans (start, length, in characters of the formatted string; first_byte, bytes, the same in UTF-8) that cover
+the assistant texts and nothing else.
 
 Edge cases: null texts and roles are empty ones; a node whose parent is null or absent is a root; rows on or below a cycle hang below no
 root and are in no path; of rows that repeat a node of a conversation the smallest (by parent, role, text, score) counts; null conversation ids are one conversation; no rows
@@ -82,28 +83,33 @@ def format_turns(turns: Column) -> Column:
     return F.array_join(F.transform(turns, piece), "")
 
 
-def loss_spans(turns: Column, role: str = "assistant") -> Column:
-    """Spans of the texts of ``role`` in ``format_turns``'s string."""
-    empty = F.array().cast("array<struct<start:int,length:int>>")
+def placed_turns(turns: DataFrame) -> DataFrame:
+    """Adds to rows (conv_id, branch, place, role, text) where the text stands in ``format_turns``'s string: ``span`` (start, length in
+    characters, first_byte, bytes). Running sums over a branch, so a turn costs the same wherever it stands."""
+    before = Window.partitionBy("conv_id", "branch").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    fields = []
+    for size, start, length in ((F.length, "start", "length"), (F.octet_length, "first_byte", "bytes")):
+        head = F.lit(len(START) + 1) + size(escape_role(F.col("role")))
+        text = size(escape(F.col("text")))
+        at = F.coalesce(F.sum(head + text + F.lit(len(END) + 1)).over(before), F.lit(0))
+        fields += [(at + head).cast("int").alias(start), text.alias(length)]
+    return turns.withColumn("span", F.struct(*fields))
 
-    def step(at: Column, t: Column) -> Column:
-        begin = at["at"] + len(START) + F.length(escape_role(t["role"])) + 1
-        size = F.length(escape(t["text"]))
-        spans = F.when(t["role"] == role, F.array_append(at["spans"], F.struct(begin.alias("start"), size.alias("length")))).otherwise(at["spans"])
-        return F.struct((begin + size + len(END) + 1).alias("at"), spans.alias("spans"))
 
-    return F.aggregate(turns, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda at: at["spans"])
+def conversations(nodes: DataFrame, keep_branches: int = 1, role: str = "assistant") -> DataFrame:
+    """conv_id, branch (from 1), score, formatted, loss: the best branches of each conversation. nodes: conv_id, node, parent, role, text, score.
 
-
-def conversations(nodes: DataFrame, keep_branches: int = 1) -> DataFrame:
-    """conv_id, branch (from 1), score, formatted, loss: the best branches of each conversation. nodes: conv_id, node, parent, role, text, score."""
+    loss: the spans of the texts of ``role`` in formatted.
+    """
     row = F.struct("parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "score")
     nodes = keep(nodes.groupBy("conv_id", "node").agg(F.min(row).alias("r")).select("conv_id", "node", "r.*"), "replies")
     steps = paths(nodes.select("conv_id", "node", "parent", "score"), keep_branches)
     texts = nodes.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "role", "text")
     placed = steps.join(texts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("node") == F.col("n")))
-    turns = placed.groupBy("conv_id", "branch").agg(F.first("score").alias("score"), F.array_sort(F.collect_list(F.struct("place", "role", "text"))).alias("turns"))
-    return turns.select("conv_id", "branch", "score", format_turns(F.col("turns")).alias("formatted"), loss_spans(F.col("turns")).alias("loss"))
+    each = F.array_sort(F.collect_list(F.struct("place", "role", "text", "span")))
+    turns = placed_turns(placed).groupBy("conv_id", "branch").agg(F.first("score").alias("score"), each.alias("turns"))
+    said = F.filter("turns", lambda t: t["role"] == role)
+    return turns.select("conv_id", "branch", "score", format_turns(F.col("turns")).alias("formatted"), F.transform(said, lambda t: t["span"]).alias("loss"))
 
 
 def read_back(formatted: Column) -> Column:
@@ -115,8 +121,9 @@ def read_back(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, one span after the other."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(formatted, s["start"] + 1, s["length"]))), "")
+    """All text under the loss mask, unescaped, one span after the other. Cut by bytes: finding a character takes all those before it."""
+    data = formatted.cast("binary")
+    return F.array_join(F.transform(spans, lambda s: unescape(F.substr(data, s["first_byte"] + 1, s["bytes"]).cast("string"))), "")
 
 
 def chains(rows: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def canonical_url(url: Column) -> Column:
     rest = F.substr(bare, F.length(host) + 1)
     rest = F.regexp_replace(rest, "([?&])(utm_[a-z]+|ref|fbclid|gclid)=[^&]*", "$1")
     rest = F.regexp_replace(F.regexp_replace(F.regexp_replace(rest, "&&+", "&"), "[?]&", "?"), "[?&]+$", "")
-    rest = F.regexp_replace(rest, "(/index\\.html?|/+)([?]|$)", "$2")
+    rest = F.regexp_replace(rest, "^([^?]*?)(/index\\.html?|/+)([?]|$)", "$1$3")
     return F.nullif(F.concat(F.regexp_replace(F.lower(host), ":(80|443)$", ""), rest), F.lit(""))
 
 

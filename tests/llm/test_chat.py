@@ -89,3 +89,23 @@ def test_chains_with_nulls_and_ties(spark):
     said = "assistant\nfirst\n\na\nuser\n\nuser\n\n"
     assert got[5].n_turns == 4 and got[5].turns_sha256 == hashlib.sha256(said.encode()).hexdigest() and got[5].loss_chars == 5
     assert got[None].loss_sha256 == hashlib.sha256(b"x").hexdigest()
+
+
+def test_spans_in_characters_and_bytes(spark):
+    data = [(1, i, i - 1, "assistant" if i % 3 else "usér", "ß👍 <|x\\"[: i % 8], 0.0) for i in range(40)]
+    r = chat.conversations(spark.createDataFrame(data, SCHEMA)).first()
+    assert [r.formatted[s.start : s.start + s.length] for s in r.loss] == [r.formatted.encode()[s.first_byte : s.first_byte + s.bytes].decode() for s in r.loss]
+    plain = "".join(d[4] for d in data if d[3] == "assistant")
+    assert "".join(r.formatted[s.start : s.start + s.length] for s in r.loss).replace("<\\|", "<|").replace("\\\\", "\\") == plain
+
+
+def test_many_turns_take_linear_time(spark):
+    """The masks of one conversation of 40,000 turns: an append for each turn took most of a minute."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    turns = spark.range(40_000).select(F.lit(1).alias("conv_id"), F.lit(1).alias("branch"), (F.col("id") + 1).alias("place"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.repeat(F.lit("é word "), 3).alias("text"))
+    began = time.perf_counter()
+    spans = chat.placed_turns(turns).agg(F.max("span.start"), F.max("span.first_byte")).first()
+    assert spans[1] - spans[0] == 3 * 39_999 and time.perf_counter() - began < 20

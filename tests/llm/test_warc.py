@@ -94,3 +94,9 @@ def test_query_against_sql(spark):
     want = con.sql(queries.ORACLES["op2_warc"]).df()[got.columns].astype(object)
     clean = lambda x: None if x is None or x != x else int(x) if isinstance(x, float) else x
     assert sorted(map(repr, rows(got))) == sorted(repr(tuple(clean(x) for x in r)) for r in want.itertuples(index=False))
+
+
+def test_queries_of_urls_keep_their_slashes(spark):
+    df = spark.createDataFrame([("http://A.com/x/?next=/b/",), ("http://a.com/x?next=/b",), ("http://a.com/?u=/x/index.html",), ("http://a.com/p/index.html?q=1/",)], "u string")
+    got = [r[0] for r in df.select(warc.canonical_url(df.u)).collect()]
+    assert got == ["a.com/x?next=/b/", "a.com/x?next=/b", "a.com?u=/x/index.html", "a.com/p?q=1/"]
