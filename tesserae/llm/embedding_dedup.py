@@ -1,10 +1,15 @@
 """Near-duplicate vectors of one label, by dual traversal of cover trees.
 
 Vectors are linked when their labels are equal and their cosine, in double precision, reaches the threshold; on the unit sphere that is a
-Euclidean radius. Equal vectors are one node with a count, linked in passing. A label's distinct vectors are dealt into chunks of about
-``CHUNK`` and every pair of its chunks is a cell, so no label, however frequent, meets in one task.
+Euclidean radius. Equal vectors are one node with a count, linked in passing.
 
-In a cell each chunk has a cover tree: nested levels whose radii halve, every node within its level's radius of its parent and centres of a
+Distribution: a label of more than ``CHUNK`` distinct vectors is cut into cells around centres, the nodes of an upper level of a cover tree
+over a bounded sample; every vector belongs to its nearest centre, and each cell's covering radius is taken over all its vectors. A vector
+is sent to another cell only if it can have links there: the cell's radius and the threshold reach it, and it lies no further than the
+threshold from the plane between both centres. Pairs of cells that are too far apart so never meet. One of two cells sends, the other
+receives. Cells and what is sent to them are dealt into chunks of about ``CHUNK``, so no label and no cell, however frequent, meets in one task.
+
+Where chunks meet each has a cover tree: nested levels whose radii halve, every node within its level's radius of its parent and centres of a
 level apart by more. Two trees are walked at once, a level at a time. A pair of nodes whose centres are further apart than the radius and
 both covering radii goes as a whole; one whose centres are closer than the radius less both covering radii is linked as a whole, counted
 without looking below. Only pairs of single vectors are decided by the threshold itself.
@@ -23,11 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm import skew
 from tesserae.llm.components import Forest, components
 from tesserae.operators import blocks
 from tesserae.session import keep
 
 CHUNK = 2048
+#: Labels that get centres (the largest), centres of all of them, and bytes of the vectors that the centres are taken from.
+CENTRED, CENTRES, SAMPLE_BYTES = 256, 4096, 16 << 20
+#: Keys that are broadcast with their vectors at most.
+HOT_VECTORS = 1024
 #: Bounds are compared with this much room; what falls into it is decided by the threshold itself.
 SLACK = 1e-9
 #: Room in squared distances for each component of a vector: a product of two vectors of one direction may be rounded to 1 or beyond.
@@ -174,6 +184,91 @@ def _cell(ids: np.ndarray, weight: np.ndarray, side: np.ndarray, x: np.ndarray,
     return count, ids, ids[forest.root]
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1)[:, None]
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def centres_of(nodes: DataFrame, sets: DataFrame, chunk: int) -> dict[int, np.ndarray]:
+    """By set the centres of its cells: of the level of a cover tree over a sample that has as many nodes as the set has chunks, or fewer."""
+    large = sets.where(F.col("n") > chunk).orderBy(F.desc("n"), "set").limit(CENTRED).collect()
+    total, out = sum(r.n for r in large), {}
+    if not large:
+        return out
+    want = {r.set: min(r.n, max(64, int(SAMPLE_BYTES / 8 / r.width * r.n / total))) for r in large}
+    share = nodes.sparkSession.createDataFrame([(r.set, want[r.set] / r.n) for r in large], "set long, share double")
+    drawn = nodes.select("set", "v").join(F.broadcast(share), "set").where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    held: dict[int, list] = {}
+    for r in drawn.select("set", "v").limit(2 * sum(want.values())).collect():
+        held.setdefault(r.set, []).append(r.v)
+    for r in large:
+        if r.set in held:
+            x = unit(np.array(sorted(held[r.set]), np.float64))
+            tree, most = CoverTree(x), max(1, min(-(-r.n // chunk), CENTRES * r.n // total))
+            out[r.set] = x[max((c for c, _ in tree.levels if len(c) <= most), key=len)]
+    return out
+
+
+def _homes(nodes: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
+    """set, node, many, v, cell (the nearest centre; 0 where a set has none), away (distance from it)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell, away, sets = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows), b.column(0).to_numpy()
+            for k in np.intersect1d(sets, list(centres)).tolist():
+                own = np.flatnonzero(sets == k)
+                c = centres[k]
+                dots = unit(blocks.matrix(b.column(3).take(pa.array(own)), c.shape[1])) @ c.T
+                cell[own] = dots.argmax(1)
+                away[own] = np.sqrt(np.maximum(0, 2 - 2 * dots.max(1)) + ROUNDED * c.shape[1])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(away)], ["set", "node", "many", "v", "cell", "away"])
+
+    return nodes.select("set", "node", "many", "v").mapInArrow(run, "set long, node long, many long, v array<double>, cell long, away double")
+
+
+def reached(dots: np.ndarray, home: np.ndarray, centres: np.ndarray, radius: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) of the cells after its own in which a vector can have links. dots: of vectors with centres."""
+    away = np.sqrt(np.maximum(0, 2 - 2 * dots))
+    between = np.sqrt(np.maximum(0, 2 - 2 * centres @ centres.T))
+    own = dots[np.arange(len(dots)), home]
+    # Distance to the plane between both centres: (own - dots) over the distance of the centres.
+    near = (own[:, None] - dots <= (reach + 1e-7) * between[home]) & (away <= radius + reach + 1e-7) & (radius >= 0)
+    return np.nonzero(near & (np.arange(len(centres)) > home[:, None]))
+
+
+def _visits(homes: DataFrame, centres: dict[int, np.ndarray], radii: dict[int, np.ndarray], reach: float) -> DataFrame:
+    """set, node, many, v, cell: a row for every vector at home and for every cell that it is sent to (``visits``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = b.column(0).to_numpy()
+            for k in np.intersect1d(sets, list(centres)).tolist():
+                own, c = np.flatnonzero(sets == k), centres[k]
+                home = b.column(4).to_numpy()[own]
+                i, j = reached(unit(blocks.matrix(b.column(3).take(pa.array(own)), c.shape[1])) @ c.T, home, c, radii[k], reach)
+                for at in range(0, len(i), 4096):
+                    some = b.take(pa.array(own[i[at : at + 4096]]))
+                    yield pa.RecordBatch.from_arrays([*some.columns[:4], pa.array(j[at : at + 4096])], ["set", "node", "many", "v", "cell"])
+
+    sent = homes.mapInArrow(run, "set long, node long, many long, v array<double>, cell long").withColumn("visits", F.lit(True))
+    return homes.select("set", "node", "many", "v", "cell", F.lit(False).alias("visits")).unionByName(sent)
+
+
+def _deal(placed: DataFrame, chunk: int) -> DataFrame:
+    """set, cell, a, b, side, node, many, v: every pair of chunks of a cell (a <= b), and every chunk of what visits it (a < 0) with every
+    chunk of the cell (b)."""
+    parts = lambda at_home: F.ceil(F.count_if(~F.col("visits") if at_home else F.col("visits")) / chunk).cast("long")
+    cells = keep(placed.groupBy("set", "cell").agg(parts(True).alias("g"), parts(False).alias("h"), F.count("*").alias("rows")), "cells")
+    dealt = skew.join_unique(placed, cells, ["set", "cell"], "rows", placed.count()).withColumn("s", F.pmod(F.xxhash64("node"), F.when(F.col("visits"), F.col("h")).otherwise(F.col("g"))))
+    pair = lambda a, b, side: F.struct(a.alias("a"), b.alias("b"), side.cast("int").alias("side"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    s, none = F.col("s"), F.array().cast("array<struct<a:long,b:long,side:int>>")
+    home = F.transform(upto(F.col("g")), lambda o: pair(F.least(s, o), F.greatest(s, o), s > o))
+    host = F.when(F.col("h") > 0, F.transform(upto(F.col("h")), lambda t: pair(-t - 1, s, F.lit(1)))).otherwise(none)
+    sent = F.transform(upto(F.greatest(F.col("g"), F.lit(1))), lambda o: pair(-s - 1, o, F.lit(0)))
+    return dealt.withColumn("p", F.explode(F.when(F.col("visits"), sent).otherwise(F.concat(home, host)))).select("set", "cell", "p.a", "p.b", "p.side", "node", "many", "v")
+
+
 def near_duplicates(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", chunk: int = CHUNK) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
     numbers = F.transform(F.col(vector_col), lambda v: v.cast("double"))
@@ -182,32 +277,38 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec
     # A node is a distinct vector of a label; its number is its own, given once and written.
     group = usable.groupBy("label", "v").agg(F.count("*").alias("many"), F.min("vec_id").alias("low"))
     nodes = keep(group.withColumn("node", F.monotonically_increasing_id()).withColumn("width", F.size("v")), "nodes")
-    sizes = nodes.groupBy("label", "width").agg(F.ceil(F.count("*") / chunk).cast("long").alias("g"))
-    sizes = keep(sizes.withColumn("set", F.monotonically_increasing_id()), "sizes")
-    dealt = nodes.join(sizes, ["label", "width"]).withColumn("s", F.pmod(F.xxhash64("node"), "g"))
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-    dealt = dealt.select("set", F.least("s", "o").alias("a"), F.greatest("s", "o").alias("b"), (F.col("s") > F.col("o")).cast("int").alias("side"), "node", "many", "v")
+    sets = keep(nodes.groupBy("label", "width").agg(F.count("*").alias("n")).withColumn("set", F.monotonically_increasing_id()), "sets")
+    of_set = skew.join_unique(nodes, sets, ["label", "width"], "n", nodes.count()).select("set", "node", "many", "v")
+    of_set = keep(of_set, "nodes-of-sets")
+    centres = centres_of(of_set, sets, chunk)
+    homes = keep(_homes(of_set, centres), "homes")
+    radii = {k: np.full(len(c), -1.0) for k, c in centres.items()}
+    # As many rows as there are centres at most.
+    few = rows.sparkSession.createDataFrame([(k,) for k in centres], "set long")
+    for r in homes.join(F.broadcast(few), "set", "left_semi").groupBy("set", "cell").agg(F.max("away").alias("away")).collect():
+        radii[r.set][r.cell] = r.away
+    placed = keep(_visits(homes, centres, radii, float(np.sqrt(2 - 2 * cosine))), "placed")
+    dealt = _deal(placed, chunk)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in blocks.cells(batches, 3):
-            ids, weight, side = (t.column(c).to_numpy().astype(np.int64) for c in (4, 5, 3))
+        for t in blocks.cells(batches, 4):
+            ids, weight, side = (t.column(c).to_numpy().astype(np.int64) for c in (5, 6, 4))
             v = t.column("v").combine_chunks()
-            x = blocks.matrix(v, len(v[0]))
-            x /= np.abs(x).max(1)[:, None]
-            x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+            x = unit(blocks.matrix(v, len(v[0])))
             count, u, root = _cell(ids, weight, side, x, cosine)
             found = (count > 0) | (u != root)
             yield pa.RecordBatch.from_arrays([pa.array(u[found]), pa.array(root[found]), pa.array(count[found])], ["node", "root", "links"])
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = keep(blocks.meet(dealt, ["set", "a", "b"], parts, run, "node long, root long, links long"), "links")
+    links = keep(blocks.meet(dealt, ["set", "cell", "a", "b"], parts, run, "node long, root long, links long"), "links")
     roots = components(links.select("node", "root"), contracted=True)
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
     rooted = keep(nodes.select("node", "label", "v", "many", "low").join(counted, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
-    least = keep(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "least")
-    named = keep(rooted.join(least, "root").select("label", "v", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"), "named")
+    least = keep(rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("members")), "least")
+    met = skew.join_unique(rooted, least, ["root"], "members", rooted.count())
+    named = keep(met.select("label", "v", "many", (F.col("many") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id"), "named")
     apart = rows.where(~(blocks.finite("v") & F.col("label").isNotNull() & F.coalesce(F.exists("v", lambda v: v != 0), F.lit(False))))
     alone = apart.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    both = usable.join(named, ["label", "v"]).select("vec_id", "n_links", "component_id").unionByName(alone)
+    both = skew.join_unique(usable, named, ["label", "v"], "many", rows.count(), HOT_VECTORS).select("vec_id", "n_links", "component_id").unionByName(alone)
     return both.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

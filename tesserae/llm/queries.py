@@ -98,6 +98,15 @@ select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || c
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) loss_sha256,
   cast(sum(length(er) + length(et) + 24) as bigint) formatted_chars
 from e group by conv_id""",
+    "op9_cover_tree": """
+with recursive v as materialized (select row_number() over () r, vec_id, label, cast(embedding as double[]) e from embeddings),
+u as materialized (select *, sqrt(list_dot_product(e, e)) size from v where label is not null and len(e) > 0
+  and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+l as materialized (select a.r, b.r other from u a join u b on a.label = b.label and len(a.e) = len(b.e) and a.r <> b.r where list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.93),
+reach as (select r, vec_id low from v union select l.other, reach.low from reach join l on reach.r = l.r),
+least as (select r, min(low) component_id from reach group by r),
+many as (select r, count(*) n from l group by r)
+select vec_id, coalesce(n, 0) n_links, component_id, coalesce(vec_id = component_id, false) kept from v join least using (r) left join many using (r)""",
     "op10_topk": """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) v from embeddings
   where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),

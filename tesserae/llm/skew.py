@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 SHARE = 16_384
 
 
-def join_unique(rows: DataFrame, table: DataFrame, keys: list[str], many: str, total: int) -> DataFrame:
+def join_unique(rows: DataFrame, table: DataFrame, keys: list[str], many: str, total: int, share: int = SHARE) -> DataFrame:
     """Inner join of rows with table (one row a key). ``many``: its column with the number of rows of a key; ``total``: all rows.
 
-    Null keys match nothing. ``many`` isn't returned.
+    ``share``: fewer where the table's rows are long. Null keys match nothing. ``many`` isn't returned.
     """
-    hot = F.col(many) * SHARE > total
+    hot = F.col(many) * share > total
     of_hot = table.where(hot).drop(many)
     few = F.broadcast(of_hot)
     rest = rows.join(F.broadcast(of_hot.select(*keys)), keys, "left_anti").join(table.where(~hot).drop(many), keys)

@@ -79,6 +79,37 @@ def test_cover_tree_is_nested():
             assert set(tree.levels[level - 1][0]) <= set(centre)
 
 
+def test_cells_lose_no_link():
+    """Of two linked vectors of different cells the one of the lower cell is sent to the other; far clusters send nothing."""
+    rng = np.random.default_rng(4)
+    reach = float(np.sqrt(2 - 2 * 0.93))
+    for spread in (0.05, 0.3, 1.5):
+        centres = rng.normal(size=(12, 24))
+        x = embedding_dedup.unit(centres[rng.integers(0, 12, 900)] + rng.normal(size=(900, 24)) * spread)
+        c = x[rng.choice(900, 12, replace=False)] if spread > 0.05 else embedding_dedup.unit(centres)
+        dots = x @ c.T
+        home = dots.argmax(1)
+        radius = np.array([np.sqrt(np.maximum(0, 2 - 2 * dots[home == j, j])).max(initial=-1.0) for j in range(12)])
+        sent = set(zip(*(a.tolist() for a in embedding_dedup.reached(dots, home, c, radius, reach))))
+        a, b = np.nonzero((x @ x.T >= 0.93) & (home[:, None] < home))
+        assert all((i, j) in sent for i, j in zip(a.tolist(), home[b].tolist()))
+        assert spread > 0.05 or not sent
+
+
+def test_cover_tree_query_against_sql(spark):
+    import os
+
+    import duckdb
+
+    from tesserae.llm import queries
+
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in os.listdir(folder):
+        con.sql(f"create view {t.split('.')[0]} as select * from '{folder}/{t}'")
+    got = queries.op9_cover_tree(spark, folder)
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(queries.ORACLES["op9_cover_tree"]).df()[got.columns].itertuples(index=False, name=None))
+
+
 def slow_topk(data, k):
     use = [(i, np.array(v)) for i, v in data if v and i is not None and all(c is not None and np.isfinite(c) for c in v)]
     out = []
