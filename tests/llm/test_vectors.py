@@ -133,6 +133,19 @@ def test_topk_against_brute_force(spark, blocks, monkeypatch):
     assert got == slow_topk(data, 5)
 
 
+def test_queries_meet_only_cells_that_their_bounds_reach(spark, monkeypatch):
+    """Of far clusters a query meets its own; the result is the exhaustive one."""
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 40)
+    rng = np.random.default_rng(6)
+    data = [(i, [float(c) for c in (rng.normal(size=12) * 0.3 + 40 * np.eye(12)[i % 12])]) for i in range(600)]
+    sent, made = [], topk._asks
+    monkeypatch.setattr(topk, "_asks", lambda *a: (sent.append(made(*a)), sent[0])[1])
+    df = spark.createDataFrame(data, "vec_id long, v array<double>")
+    got = sorted(map(tuple, topk.search(df, F.col("vec_id") % 50 == 0, 5).collect()))
+    assert [r[:3] for r in got] == [r[:3] for r in slow_topk(data, 5)]
+    assert sent[0].count() <= 3 * 12
+
+
 def test_topk_of_few_and_no_rows(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, v array<double>")
     assert sorted(map(tuple, topk.search(df, F.col("vec_id") % 50 == 0, 5).collect())) == [(0, 1, 1, 2.0)]
