@@ -2,19 +2,22 @@
 
 Every document belongs to the list whose centroid has the greatest product with its encoding. A query is scored with the documents of its
 ``nprobe`` best lists only. Lists are long rows with the list as a column, so a store partitioned by ``list_id`` is read where a query
-probes it. Centroids are of a chosen, bounded number (``nlist``) and go into plans as a broadcast table only below ``BROADCAST_BYTES``.
+probes it. Centroids are of a chosen, bounded number (``nlist``); they reach the tasks a block of ``BROADCAST_BYTES`` at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tesserae.functions import vectors
-from tesserae.operators import chamfer
+from tesserae.operators import blocks, chamfer
 
 BROADCAST_BYTES = 64 << 20
+LIST_BLOCK, QUERY_BLOCK = 4096, 1024
 
 
 def every(n: DataFrame, step: int, key: str = "doc_id") -> DataFrame:
@@ -40,34 +43,73 @@ def training_share(n: int, nlist: int, per_list: int = 100, least: int = 50_000)
     return 1.0 if n <= max(least, per_list * nlist) else max(least, per_list * nlist) / n
 
 
-def _against(rows: DataFrame, centroids: DataFrame) -> DataFrame:
-    """rows (key, fde) with every centroid; centroids are broadcast while their size is known to be small, dealt in blocks otherwise."""
+def _blocks(centroids: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(list_ids, matrix) of the centroids, in order of list_id, BROADCAST_BYTES at a time."""
     lists = centroids.agg(F.count("*").alias("n"), F.max(F.size("c")).alias("w")).first()
-    if lists.n * (lists.w or 0) * 8 <= BROADCAST_BYTES:
-        return rows.crossJoin(F.broadcast(centroids))
-    blocks = -(-lists.n * lists.w * 8 // BROADCAST_BYTES)
-    side = centroids.withColumn("b", F.pmod(F.col("list_id"), F.lit(blocks)).cast("int"))
-    return rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(side, "b").drop("b")
+    blocks = max(1, -(-lists.n * (lists.w or 0) * 8 // BROADCAST_BYTES))
+    for k in range(blocks):
+        rows = sorted((r.list_id, r.c) for r in centroids.where(F.pmod("list_id", F.lit(blocks)) == k).select("list_id", "c").collect())
+        if rows:
+            yield np.array([i for i, _ in rows], np.int64), np.array([c for _, c in rows], np.float64)
+
+
+def nearest(rows: DataFrame, key: str, centroids: DataFrame, most: int, digits: int | None = None) -> DataFrame:
+    """key, fde, lists: of each row the ``most`` lists with the greatest products, best first, ties to the smaller number.
+
+    Every block of centroids is multiplied with the rows where they lie and the best so far are carried along: nothing is shuffled. Rows
+    without an encoding, and all rows where there are no centroids, have no lists.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, fde array<double>, lists array<int>, products array<double>"
+    found = rows.select(key, "fde", F.array().cast("array<int>").alias("lists"), F.array().cast("array<double>").alias("products"))
+    for ids, matrix in _blocks(centroids):
+
+        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, b.num_rows, 256):
+                    part = b.slice(at, 256)
+                    some = np.flatnonzero(~part.column(1).is_null().to_numpy(zero_copy_only=False))
+                    lists, products = part.column(2).to_pylist(), part.column(3).to_pylist()
+                    if len(some):
+                        dots = blocks.matrix(part.column(1).take(pa.array(some)), matrix.shape[1]) @ matrix.T
+                        for i, own in zip(some.tolist(), dots):
+                            lists[i], products[i] = _best(np.concatenate([lists[i], ids]).astype(np.int64), np.concatenate([products[i], own]), most, digits)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lists, pa.list_(pa.int32())), pa.array(products, pa.list_(pa.float64()))], [key, "fde", "lists", "products"])
+
+        found = found.mapInArrow(run, schema)
+    return found.drop("products")
+
+
+def _best(ids: np.ndarray, products: np.ndarray, most: int, digits: int | None) -> tuple[list[int], list[float]]:
+    least = np.partition(products, -most)[-most] if len(products) > most else -np.inf
+    some = np.flatnonzero(products >= least - (0 if digits is None else 2 * 10.0**-digits))
+    by = products[some] if digits is None else chamfer.rounded(products[some], digits)
+    some = some[np.lexsort((ids[some], -by))[:most]]
+    return ids[some].tolist(), products[some].tolist()
 
 
 def assign(encodings: DataFrame, centroids: DataFrame, digits: int | None = None) -> DataFrame:
     """doc_id, list_id, fde: the list with the greatest product, ties to the smaller number."""
-    product = vectors.dot("fde", "c")
-    product = F.round(product, digits) if digits is not None else product
-    best = F.max_by(F.col("list_id"), F.struct(product, -F.col("list_id")))
-    return _against(encodings.select("doc_id", "fde"), centroids).groupBy("doc_id").agg(best.alias("list_id"), F.first("fde").alias("fde"))
+    found = nearest(encodings, "doc_id", centroids, 1, digits)
+    return found.where(F.size("lists") > 0).select("doc_id", F.col("lists")[0].alias("list_id"), "fde")
 
 
 def probes(query_fde: DataFrame, centroids: DataFrame, nprobe: int, digits: int | None = None) -> DataFrame:
     """qid, list_id, fde of each query's nprobe best lists."""
-    product = vectors.dot("fde", "c")
-    rows = _against(query_fde.select("qid", "fde"), centroids).withColumn("p", F.round(product, digits) if digits is not None else product)
-    order = Window.partitionBy("qid").orderBy(F.desc("p"), "list_id")
-    return rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= nprobe).select("qid", "list_id", "fde")
+    return nearest(query_fde, "qid", centroids, nprobe, digits).select("qid", F.explode("lists").alias("list_id"), "fde")
 
 
 def search(query_fde: DataFrame, index: DataFrame, centroids: DataFrame, nprobe: int, k: int, digits: int | None = None) -> DataFrame:
-    """qid, doc_id, score, rank: each query's k best among the documents of the lists it probes. index: doc_id, list_id, fde."""
-    asked = probes(query_fde, centroids, nprobe, digits).select("qid", "list_id", F.col("fde").alias("qf"))
-    scored = asked.join(index.select("list_id", "doc_id", F.col("fde").alias("df")), "list_id").select("qid", "doc_id", vectors.dot("qf", "df").alias("score"))
-    return chamfer.ranked(scored, k, digits)
+    """qid, doc_id, score, rank: each query's k best among the documents of the lists it probes. index: doc_id, list_id, fde.
+
+    A list is dealt into blocks of ``LIST_BLOCK`` documents, which meet the queries that probe it in cells, by matrix products.
+    """
+    asked = probes(query_fde, centroids, nprobe, digits).select("qid", "list_id", F.array("fde").alias("toks"))
+    sizes = index.groupBy("list_id").agg(F.ceil(F.count("*") / LIST_BLOCK).cast("int").alias("g"))
+    asks = asked.groupBy("list_id").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("h"))
+    # A row for each list; their number is the index's nlist.
+    sizes = sizes.join(asks, "list_id")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    d = index.select("list_id", "doc_id", F.array("fde").alias("toks")).join(sizes, "list_id").withColumn("b", F.pmod(F.xxhash64("doc_id"), "g").cast("int")).withColumn("a", upto("h"))
+    q = asked.join(sizes, "list_id").withColumn("a", F.pmod(F.xxhash64("qid"), "h").cast("int")).withColumn("b", upto("g"))
+    return chamfer.ranked(chamfer.topk_met(q, d, ["list_id", "a", "b"], k, digits), k, digits)

@@ -68,22 +68,29 @@ def rounded(x: np.ndarray, digits: int) -> np.ndarray:
     return np.array([float(Decimal(repr(v)).quantize(unit, ROUND_HALF_UP)) if abs(v) < 1e15 else v for v in values.tolist()], np.float64)[at]
 
 
-def topk_cells(queries: DataFrame, documents: DataFrame, k: int, digits: int | None = None) -> DataFrame:
-    """qid, doc_id, score: at least each query's k best, at most k of every cell; by matrix products.
+def topk_cells(queries: DataFrame, documents: DataFrame, k: int, digits: int | None = None, query_block: int = QUERY_BLOCK, document_block: int = DOCUMENT_BLOCK) -> DataFrame:
+    """qid, doc_id, score: at least each query's k best, at most k of every cell; by matrix products. Ids are of any type.
 
     ``digits``: the best are those by scores rounded so, ties by doc_id; the scores themselves are passed on as they are.
     """
-    q, d = grid(queries.select("qid", "toks"), documents.select("doc_id", "toks"))
-    q = q.select("a", "b", F.lit(0).alias("side"), F.col("qid").alias("id"), "toks")
-    d = d.select("a", "b", F.lit(1).alias("side"), F.col("doc_id").alias("id"), "toks")
+    return topk_met(*grid(queries.select("qid", "toks"), documents.select("doc_id", "toks"), query_block, document_block), ["a", "b"], k, digits)
+
+
+def topk_met(queries: DataFrame, documents: DataFrame, keys: list[str], k: int, digits: int | None = None) -> DataFrame:
+    """The same for rows that are dealt into cells by ``keys`` (integers). queries: keys, qid, toks; documents: keys, doc_id, toks."""
+    kinds = [rows.schema[c].dataType for rows, c in ((queries, "qid"), (documents, "doc_id"))]
+    q = queries.select(*keys, F.lit(0).alias("side"), "qid", F.lit(None).cast(kinds[1]).alias("doc_id"), "toks")
+    d = documents.select(*keys, F.lit(1).alias("side"), F.lit(None).cast(kinds[0]).alias("qid"), "doc_id", "toks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in blocks.cells(batches, 2):
+        for t in blocks.cells(batches, len(keys)):
             side = t.column("side").to_numpy()
             asks, held = (t.filter(pa.array(side == s)) for s in (0, 1))
             if not asks.num_rows or not held.num_rows:
                 continue
-            qids, ids = asks.column("id").to_numpy(), held.column("id").to_numpy()
+            qids, ids = asks.column("qid").combine_chunks(), held.column("doc_id").combine_chunks()
+            # Strings are compared as Spark does, by their bytes in UTF-8: the order of Python's.
+            place = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1]
             score = segmented(*unpack(asks.column("toks")), *unpack(held.column("toks")))
             for i, own in enumerate(score):
                 # Ties at the k-th place all pass; the window decides by id.
@@ -91,11 +98,11 @@ def topk_cells(queries: DataFrame, documents: DataFrame, k: int, digits: int | N
                 # What is rounded to no less than the k-th is about a unit below it at most.
                 best = np.flatnonzero(own >= least - (0 if digits is None else 2 * 10.0**-digits))
                 by = own[best] if digits is None else rounded(own[best], digits)
-                best = best[np.lexsort((ids[best], -by))[:k]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), qids[i])), pa.array(ids[best]), pa.array(own[best])], ["qid", "doc_id", "score"])
+                best = best[np.lexsort((place[best], -by))[:k]]
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(np.full(len(best), i))), ids.take(pa.array(best)), pa.array(own[best])], ["qid", "doc_id", "score"])
 
     parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return blocks.meet(q.unionByName(d), ["a", "b"], parts, run, "qid long, doc_id long, score double")
+    return blocks.meet(q.unionByName(d), keys, parts, run, f"qid {kinds[0].simpleString()}, doc_id {kinds[1].simpleString()}, score double")
 
 
 def ranked(scored: DataFrame, k: int | None = None, digits: int | None = None) -> DataFrame:

@@ -125,6 +125,10 @@ def sketch_long(long: DataFrame, cfg: FdeConfig, key: str = "doc_id") -> DataFra
     return long.select(key, at, "val").select(key, where.alias("dim"), (F.col("val") * by).alias("val")).groupBy(key, "dim").agg(F.sum("val").alias("val"))
 
 
+#: Of the encodings in a cell of the exhaustive search.
+CELL_BYTES = 64 << 20
+
+
 class Kernel:
     """The encoding of one cloud, in double precision."""
 
@@ -170,12 +174,15 @@ class Kernel:
 def encode(packed: DataFrame, cfg: FdeConfig, key: str = "doc_id") -> DataFrame:
     """key, fde ARRAY<DOUBLE> of each packed cloud (key, toks), by the kernel; a row in, a row out."""
 
+    from tesserae.operators import chamfer
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = Kernel(cfg)
         for b in batches:
             for at in range(0, b.num_rows, 64):
                 part = b.slice(at, 64)
-                made = np.stack([kernel(np.array(t or np.empty((0, cfg.dimension)), np.float64)) for t in part.column(1).to_pylist()])
+                rows, start = chamfer.unpack(pa.chunked_array([part.column(1).fill_null([])]))
+                made = np.stack([kernel(rows[i:j]) for i, j in zip(start, start[1:])])
                 values = pa.ListArray.from_arrays(np.arange(0, made.size + 1, cfg.length, dtype=np.int32), made.reshape(-1))
                 yield pa.RecordBatch.from_arrays([part.column(0), values], [key, "fde"])
 
@@ -191,9 +198,11 @@ def encode_documents(packed: DataFrame, cfg: FdeConfig, key: str = "doc_id") ->
 
 
 def search(query_fde: DataFrame, document_fde: DataFrame, k: int, digits: int | None = None) -> DataFrame:
-    """qid, doc_id, score, rank: exhaustive inner products, block by block."""
+    """qid, doc_id, score, rank: exhaustive inner products, by matrix products in cells of about ``CELL_BYTES``."""
     from tesserae.operators import chamfer
 
-    q, d = chamfer.grid(query_fde.select("qid", F.col("fde").alias("qf")), document_fde.select("doc_id", F.col("fde").alias("df")))
-    scored = q.join(d, ["a", "b"]).select("qid", "doc_id", vectors.dot("qf", "df").alias("score"))
-    return chamfer.ranked(scored, k, digits)
+    # An encoding is a cloud of one token.
+    q, d = query_fde.select("qid", F.array("fde").alias("toks")), document_fde.select("doc_id", F.array("fde").alias("toks"))
+    length = document_fde.agg(F.max(F.size("fde"))).first()[0] or 1
+    block = max(chamfer.LEAST_BLOCK, min(chamfer.DOCUMENT_BLOCK, CELL_BYTES // (8 * length)))
+    return chamfer.ranked(chamfer.topk_cells(q, d, k, digits, min(chamfer.QUERY_BLOCK, block), block), k, digits)

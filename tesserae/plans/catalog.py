@@ -139,7 +139,7 @@ def vec_dot_topk(spark: SparkSession, folder: str) -> DataFrame:
     rows = tables.parquet(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), F.array(F.col("embedding").cast("array<double>")).alias("toks"))
     # One-token clouds: their Chamfer score is the product.
     asked = rows.where(F.col("doc_id") % 50 == 0).withColumnRenamed("doc_id", "qid")
-    return chamfer.ranked(chamfer.scores(asked, rows), K, DIGITS)
+    return chamfer.ranked(chamfer.topk_cells(asked, rows, K, DIGITS), K, DIGITS)
 
 
 @register(f"with {_TOKENS}, {_hash_sql(CFG)} select doc_id, tok_id, cast(rep as integer) rep, cast(part as integer) part from h")
