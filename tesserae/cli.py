@@ -33,6 +33,9 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--candidates", type=int, default=100)
         p.add_argument("--rerank-n", type=int, nargs="+" if p is sweep else None, default=[50] if p is sweep else 50)
         p.add_argument("--read-policy", choices=partial.POLICIES, default="full")
+        p.add_argument("--sketch-tokens", type=int, default=256, help="longest tokens that the policy sketch reads")
+        p.add_argument("--exact-n", type=int, default=0, help="rescored documents that are rescored again on whole clouds")
+        p.add_argument("--query-cache", help="folder of encoded queries")
         p.add_argument("--out", required=True)
     for p in (build, search, sweep):
         p.add_argument("--documents", required=True)
@@ -45,6 +48,10 @@ def _config(a: argparse.Namespace, repetitions: int, projections: int) -> FdeCon
     return FdeConfig(dimension=a.dimension, repetitions=repetitions, projections=projections, seed=a.seed, fill_empty=True)
 
 
+def _search(a: argparse.Namespace, rerank_n: int) -> retrieval.SearchConfig:
+    return retrieval.SearchConfig(candidates=a.candidates, rerank_n=rerank_n, nprobe=a.nprobe, read_policy=a.read_policy, sketch_tokens=a.sketch_tokens, exact_n=a.exact_n)
+
+
 def sweep(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """One experiment line for each configuration and number of rescored documents; truth is made once, on whole clouds."""
     docs, asks = spark.read.parquet(a.documents), spark.read.parquet(a.queries)
@@ -55,11 +62,11 @@ def sweep(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         cfg, watch = _config(a, r, p), stats.Stopwatch()
         path = f"{a.index}/{store.folder_name('clouds', 'fde', cfg)}"
         with watch.stage("build"):
-            retrieval.build(docs, cfg, path, a.nlist, a.seed)
+            retrieval.ensure(docs, cfg, path, a.nlist, a.seed)
         for n in a.rerank_n:
             found = f"{path}/results-{n}"
             with watch.stage(f"search-{n}"):
-                retrieval.search(spark, path, asks, docs, retrieval.SearchConfig(candidates=a.candidates, rerank_n=n, nprobe=a.nprobe, read_policy=a.read_policy)).write.mode("overwrite").parquet(found)
+                retrieval.search(spark, path, asks, docs, _search(a, n), cfg, a.query_cache and f"{a.query_cache}/{store.folder_name('queries', 'fde', cfg)}").write.mode("overwrite").parquet(found)
             m = retrieval.evaluate(spark.read.parquet(found), truth, a.topk).first()
             lines.append((r, p, n, m.recall, m.hit, m.ndcg, dict(watch.rows)["build"], watch.rows[-1][1]))
     return spark.createDataFrame(lines, "repetitions int, projections int, rerank_n int, recall double, hit double, ndcg double, build_s double, search_s double")
@@ -71,8 +78,7 @@ def main(args: list[str] | None = None) -> None:
     if a.command == "build":
         retrieval.build(spark.read.parquet(a.documents), _config(a, a.repetitions, a.projections), a.index, a.nlist, a.seed)
     elif a.command == "search":
-        cfg = retrieval.SearchConfig(candidates=a.candidates, rerank_n=a.rerank_n, nprobe=a.nprobe, read_policy=a.read_policy)
-        retrieval.search(spark, a.index, spark.read.parquet(a.queries), spark.read.parquet(a.documents), cfg).write.mode("overwrite").parquet(a.out)
+        retrieval.search(spark, a.index, spark.read.parquet(a.queries), spark.read.parquet(a.documents), _search(a, a.rerank_n), query_cache=a.query_cache).write.mode("overwrite").parquet(a.out)
     else:
         sweep(spark, a).coalesce(1).write.mode("overwrite").parquet(a.out)
 

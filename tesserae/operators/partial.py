@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tesserae.functions import vectors
 
-POLICIES = ("full", "front", "back", "ends")
+POLICIES = ("full", "front", "back", "ends", "sketch")
 
 
 def wanted(policy: str, tok: Column, n: Column) -> Column:
@@ -24,12 +26,25 @@ def read_half(tokens: DataFrame, policy: str) -> DataFrame:
     return tokens.join(n, "doc_id").where(wanted(policy, F.col("tok_id"), F.col("n"))).drop("n")
 
 
-def half(toks: Column, policy: str) -> Column:
-    """The same for a packed cloud, without a shuffle."""
+def half(toks: Column, policy: str, top: int = 256) -> Column:
+    """The same for a packed cloud, without a shuffle. ``sketch``: its ``top`` longest tokens."""
+    if policy == "sketch":
+        return longest(toks, top)
     n = F.size(toks)
     return F.filter(toks, lambda t, i: wanted(policy, i, n))
 
 
+def _square(token: Column) -> Column:
+    return F.aggregate(token, F.lit(0.0), lambda a, x: a + x * x)
+
+
+def longest(toks: Column, top: int, size: Callable[[Column], Column] = _square) -> Column:
+    """The ``top`` longest tokens of a packed cloud by ``size``, in their order; ties to the earlier token."""
+    each = F.transform(toks, lambda t, i: F.struct((-size(t)).alias("size"), i.alias("i"), t.alias("t")))
+    best = F.transform(F.slice(F.array_sort(each), 1, top), lambda e: F.struct(e["i"].alias("i"), e["t"].alias("t")))
+    return F.transform(F.array_sort(best), lambda e: e["t"])
+
+
 def spans(rows: DataFrame, key: str, row: str) -> DataFrame:
     """key, start, length of the runs of consecutive row numbers; repeated numbers count once."""
     order = Window.partitionBy(key).orderBy(row)

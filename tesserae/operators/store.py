@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Callable
 from dataclasses import asdict, fields
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,21 +42,53 @@ def _config(said: dict) -> FdeConfig:
     return FdeConfig(**{f.name: kinds.get(f.name, lambda v: v)(said[f.name]) for f in fields(FdeConfig) if f.name in said})
 
 
+def read(spark: SparkSession, path: str) -> DataFrame | None:
+    """A stored table; None where there is none, or nothing that can be read as Parquet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
 def save_index(encodings: DataFrame, cfg: FdeConfig, path: str) -> None:
-    """Encodings and all of the configuration; the row count is taken from what was written."""
+    """Encodings and all of the configuration; the row count, and that of rows of a wrong length, are taken from what was written."""
     spark = encodings.sparkSession
     encodings.write.mode("overwrite").parquet(f"{path}/fde")
-    n = spark.read.parquet(f"{path}/fde").count()
-    spark.createDataFrame([(json.dumps(_plain(cfg)), n)], "config string, n long").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+    seen = spark.read.parquet(f"{path}/fde").agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.size("fde") != cfg.length, F.lit(True))).alias("wrong")).first()
+    spark.createDataFrame([(json.dumps(_plain(cfg)), seen.n, seen.wrong)], "config string, n long, wrong long").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
 
 def load_index(spark: SparkSession, path: str, n_documents: int | None = None) -> tuple[DataFrame, FdeConfig] | None:
-    """The stored index; None if its size isn't ``n_documents`` or a row's length isn't the configuration's."""
-    meta = spark.read.parquet(f"{path}/meta").first()
-    cfg, rows = _config(json.loads(meta.config)), spark.read.parquet(f"{path}/fde")
-    if n_documents is not None and meta.n != n_documents or not rows.where(F.size("fde") != cfg.length).isEmpty():
+    """The stored index; None where there is none, its size isn't ``n_documents`` or a row's length isn't the configuration's.
+
+    The row of facts that was stored with the encodings is read, not the encodings.
+    """
+    facts, rows = read(spark, f"{path}/meta"), read(spark, f"{path}/fde")
+    meta = facts.first() if facts is not None else None
+    if meta is None or rows is None or meta.wrong or (n_documents is not None and meta.n != n_documents):
         return None
-    return rows, cfg
+    return rows, _config(json.loads(meta.config))
+
+
+def cached_queries(queries: DataFrame, cfg: FdeConfig, path: str, encode: Callable[[DataFrame, FdeConfig], DataFrame]) -> DataFrame:
+    """qid, fde of all queries (qid, toks, and text where there is one): from the cache at ``path`` where it has them.
+
+    A query is known by the SHA-1 of its id and text, or of its id and cloud, so one that changes is another. What the cache lacks, or has in
+    another length than the index's, is encoded and appended. Of entries that two runs have both made one counts.
+    """
+    spark = queries.sparkSession
+    said = F.col("text") if "text" in queries.columns else F.to_json("toks")
+    keyed = queries.withColumn("key", query_key(F.col("qid").cast("string"), F.coalesce(said, F.lit(""))))
+    old = read(spark, path)
+    if old is None:
+        missing = keyed
+    else:
+        missing = keyed.join(old.join(stale(old, cfg).select("key"), "key", "left_anti").select("key").distinct(), "key", "left_anti")
+    # Texts of one key are equal, so are their clouds; repeated queries are encoded once.
+    made = missing.dropDuplicates(["key"]).select("key", "toks")
+    encode(made.withColumnRenamed("key", "qid"), cfg).select(F.col("qid").alias("key"), "fde").write.mode("append").parquet(path)
+    known = spark.read.parquet(path).where(F.size("fde") == cfg.length).dropDuplicates(["key"])
+    return keyed.select("qid", "key").join(known, "key").select("qid", "fde")
 
 
 def stale(cached: DataFrame, cfg: FdeConfig) -> DataFrame:

@@ -6,6 +6,7 @@ different orders.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -28,6 +29,8 @@ AMS = FdeConfig(dimension=DIM, repetitions=2, projections=3, seed=42, projection
 SKETCHED = FdeConfig(dimension=DIM, repetitions=2, projections=3, seed=42, final_dimension=128)
 #: Fixed centroids: every so many documents' encodings.
 CENTROID_EVERY, NPROBE, CANDIDATES, RERANK = 25, 2, 20, 8
+#: Of the lists, in ivf_search_share. The vectors are random directions, so lists say little about what is near.
+PROBE_SHARE = 0.85
 BITS, TABLES, SKETCH, BLOCK = 8, 2, 3, 2
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -227,6 +230,19 @@ def ivf_search(spark: SparkSession, folder: str) -> DataFrame:
     return _ivf(spark, folder, CANDIDATES)
 
 
+@register(
+    f"""with {_ENCODED}, {_EXACT}, {_LISTS}, qp as (select qid, list_id, round(sum(ql.val * ce.val), 6) p from ql join ce using (rep, part, dim) group by qid, list_id),
+pr as (select qid, list_id from (select *, row_number() over (partition by qid order by p desc, list_id) n, count(*) over (partition by qid) lists from qp) where n <= greatest(1, ceil(lists * {PROBE_SHARE}))),
+ps as materialized (select es.* from es join ia using (doc_id) join pr on pr.qid = es.qid and pr.list_id = ia.list_id), {_rank('ps', CANDIDATES, 'r')} select * from r"""
+)
+def ivf_search_share(spark: SparkSession, folder: str) -> DataFrame:
+    """As ivf_search, but a share of the lists is probed, however many there are: enough for a recall of 0.9."""
+    asked, rows = _encodings(spark, folder)
+    centroids = ann.every(rows, CENTROID_EVERY)
+    nprobe = max(1, math.ceil(centroids.count() * PROBE_SHARE))
+    return ann.search(asked, ann.assign(rows, centroids, DIGITS), centroids, nprobe, CANDIDATES, DIGITS)
+
+
 @register()
 def ivf_kmeans_search(spark: SparkSession, folder: str) -> DataFrame:
     """Trained centroids depend on the engine; with every list probed the result is the exhaustive one (tests)."""
@@ -281,6 +297,15 @@ def sketch_topl(spark: SparkSession, folder: str) -> DataFrame:
     return partial.sketch(tables.tokens(spark, folder), SKETCH, DIGITS)
 
 
+@register(f"with {_TOKENS}, s as (select *, row_number() over (partition by doc_id order by round({_dot('v', 'v')}, 6) desc, tok_id) place from t), {_CHAMFER.replace('t d on', f'(select * from s where place <= {SKETCH}) d on')}, {_rank('cs', K, 'r')} select * from r")
+def sketch_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """Search over the longest tokens of every document, cut from packed clouds."""
+    q, d = _clouds(spark, folder)
+    # Lengths in whole millionths: the two engines add in different orders.
+    size = lambda t: F.round(F.aggregate(t, F.lit(0.0), lambda a, x: a + x * x), DIGITS)
+    return chamfer.ranked(chamfer.topk_cells(q, d.withColumn("toks", partial.longest(F.col("toks"), SKETCH, size)), K, DIGITS), K, DIGITS)
+
+
 @register(f"{_NORMS}, i as (select doc_id, tok_id, tok_id - row_number() over (partition by doc_id order by tok_id) island from k where place <= {SKETCH}) select doc_id, cast(min(tok_id) as integer) AS start, count(*) length from i group by doc_id, island")
 def row_spans(spark: SparkSession, folder: str) -> DataFrame:
     return partial.spans(partial.sketch(tables.tokens(spark, folder), SKETCH, DIGITS), "doc_id", "tok_id")

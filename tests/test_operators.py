@@ -390,3 +390,78 @@ def test_gemm_topk_of_clouds_that_tie_when_rounded(spark, monkeypatch):
     monkeypatch.setattr(catalog, "_clouds", lambda spark, folder: (q, d))
     got = [sorted((r.rank, r.doc_id, r.score) for r in f(spark, "").collect()) for f in (catalog.chamfer_gemm_topk, catalog.chamfer_topk)]
     assert got[0] == got[1] and [i for _, i, _ in got[0]] == [40, *range(9)]
+
+
+def _random_clouds(spark, n, kind="long", key="doc_id", seed=3):
+    rng = np.random.default_rng(seed)
+    name = (lambda i: f"é{i:03d}") if kind == "string" else (lambda i: i)
+    return spark.createDataFrame([(name(i), rng.normal(size=(1 + i % 4, 4)).tolist()) for i in range(n)], f"{key} {kind}, toks array<array<double>>")
+
+
+def test_string_ids_from_json_lines_to_truth_and_sweep(spark, tmp_path):
+    from tesserae import cli
+    from tesserae.operators import encoder
+    from tesserae.sources import tables
+
+    (tmp_path / "corpus.jsonl").write_text("\n".join(f'{{"_id": "d{i}", "title": "t{i}", "text": "word{i} other{i % 3}"}}' for i in range(30)))
+    (tmp_path / "queries.jsonl").write_text("\n".join(f'{{"_id": "q{i}", "text": "word{i} other{i % 3}"}}' for i in range(4)))
+    vec = spark.createDataFrame([(i, np.random.default_rng(i).normal(size=4).tolist()) for i in range(50)], "vec_id long, embedding array<double>")
+    docs, asks = tables.read_corpus_jsonl(spark, str(tmp_path / "corpus.jsonl")), tables.read_queries_jsonl(spark, str(tmp_path / "queries.jsonl"))
+    packed = [tables.pack(encoder.lookup(rows, vec, 50, key), key) for rows, key in ((docs, "doc_id"), (asks, "qid"))]
+    for rows, name in zip(packed, ("d", "q")):
+        rows.write.parquet(str(tmp_path / name))
+    d, q = (spark.read.parquet(str(tmp_path / n)) for n in ("d", "q"))
+    by = {kernel: sorted(tuple(r)[:2] + (round(r.score, 9), r["rank"]) for r in chamfer.topk(q, d, 5, kernel).collect()) for kernel in ("gemm", "expression")}
+    assert by["gemm"] == by["expression"] and {r[0] for r in by["gemm"]} == {"q0", "q1", "q2", "q3"}
+    cli.main(["sweep", "--documents", str(tmp_path / "d"), "--queries", str(tmp_path / "q"), "--index", str(tmp_path / "i"), "--dimension", "4", "--projections", "1", "--nlist", "2", "--nprobe", "2", "--candidates", "30", "--rerank-n", "30", "--topk", "3", "--query-cache", str(tmp_path / "c"), "--out", str(tmp_path / "out")])
+    assert [r.recall for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [1.0]
+
+
+def test_missing_lists_and_indexes_fall_back(spark, tmp_path):
+    import shutil
+
+    cfg = FdeConfig(dimension=4, repetitions=2, projections=2, fill_empty=True)
+    docs, asks = _random_clouds(spark, 20), _random_clouds(spark, 3, key="qid", seed=9)
+    path = str(tmp_path / "i")
+    find = retrieval.SearchConfig(candidates=20, rerank_n=20, nprobe=2)
+    rows = lambda df: sorted((r.qid, r.doc_id, r["rank"]) for r in df.collect())
+    with pytest.raises(ValueError):
+        retrieval.candidates(spark, path, asks, find)
+    fresh = rows(retrieval.search(spark, path, asks, docs, find, cfg))
+    assert retrieval.ensure(docs, cfg, path, 2) and not retrieval.ensure(docs, cfg, path, 2)
+    assert rows(retrieval.search(spark, path, asks, docs, find)) == fresh
+    shutil.rmtree(f"{path}/lists")
+    assert rows(retrieval.search(spark, path, asks, docs, find)) == fresh
+    shutil.rmtree(f"{path}/fde")
+    assert rows(retrieval.search(spark, path, asks, docs, find, cfg)) == fresh
+    # Another number of documents, or another configuration, and it is built again.
+    assert retrieval.ensure(docs, cfg, path, 2) and retrieval.ensure(docs.limit(19), cfg, path, 2)
+    assert retrieval.ensure(docs.limit(19), FdeConfig(dimension=4, repetitions=1, projections=2), path, 2)
+
+
+def test_query_cache(spark, tmp_path):
+    cfg, other = FdeConfig(dimension=4, repetitions=2, projections=2), FdeConfig(dimension=4, repetitions=1, projections=2)
+    asks, path, made = _random_clouds(spark, 5, key="qid"), str(tmp_path / "c"), []
+
+    def encode(rows, c):
+        made.append(rows.count())
+        return fde.encode_queries(rows, c)
+
+    for rows, c, new in ((asks.limit(3), cfg, 3), (asks, cfg, 2), (asks.unionByName(asks), cfg, 0), (asks, other, 5), (asks.limit(0), cfg, 0), (asks.withColumn("text", F.lit("said")), cfg, 5)):
+        got = store.cached_queries(rows, c, path, encode)
+        assert {(r.qid, tuple(r.fde)) for r in got.collect()} == {(r.qid, tuple(r.fde)) for r in fde.encode_queries(rows, c).collect()}
+        assert got.count() == rows.count() and made.pop() == new
+
+
+def test_sketch_policy_and_second_stage(spark, tmp_path):
+    toks = [[1.0, 0.0], [3.0, 0.0], [0.0, 2.0], [0.0, -3.0]]
+    df = spark.createDataFrame([(toks,), ([],), (None,)], "t array<array<double>>")
+    assert [r[0] for r in df.select(partial.longest(df.t, 2)).collect()] == [[[3.0, 0.0], [0.0, -3.0]], [], None]
+    cfg, docs, asks = FdeConfig(dimension=4, repetitions=2, projections=2), _random_clouds(spark, 20), _random_clouds(spark, 3, key="qid", seed=9)
+    path = str(tmp_path / "i")
+    find = lambda **how: retrieval.search(spark, path, asks, docs, retrieval.SearchConfig(candidates=20, rerank_n=20, nprobe=0, **how), cfg)
+    order = lambda df, n: sorted((r.qid, r["rank"], r.doc_id) for r in df.where(f"rank <= {n}").collect())
+    assert order(find(read_policy="sketch", sketch_tokens=9), 20) == order(find(), 20)
+    both = find(read_policy="sketch", sketch_tokens=1, exact_n=20)
+    assert order(both, 20) == order(find(), 20) and {r.stage for r in both.collect()} == {"exact"}
+    assert {r.stage for r in find(read_policy="sketch", sketch_tokens=1, exact_n=4).collect()} == {"exact", "tail"}
