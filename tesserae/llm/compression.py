@@ -113,8 +113,12 @@ def content(dictionary: bytes) -> bytes:
 
 
 def fold_of(texts: list[bytes], folds: int) -> np.ndarray:
-    """A fold for each text, by its content: equal texts are in one fold."""
-    return np.array([zlib.crc32(x) // 8 % folds for x in texts], np.int64)
+    """A fold for each text, by the least hash of its runs of five words: equal texts are in one fold, and near copies nearly always."""
+    out = np.empty(len(texts), np.int64)
+    for k, x in enumerate(texts):
+        words = x.split()
+        out[k] = min(zlib.crc32(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))) // 8 % folds
+    return out
 
 
 def compressor(dictionary: bytes, raw: bool, **parameters: int) -> Callable[[bytes], bytes]:
