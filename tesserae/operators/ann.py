@@ -18,6 +18,8 @@ from tesserae.operators import blocks, chamfer
 
 BROADCAST_BYTES = 64 << 20
 LIST_BLOCK, QUERY_BLOCK = 4096, 1024
+#: To move an encoding to a cell takes about as long as to score so many.
+MOVE = 100
 
 
 def every(n: DataFrame, step: int, key: str = "doc_id") -> DataFrame:
@@ -102,6 +104,46 @@ def probes(query_fde: DataFrame, centroids: DataFrame, nprobe: int, digits: int
 def search(query_fde: DataFrame, index: DataFrame, centroids: DataFrame, nprobe: int, k: int, digits: int | None = None) -> DataFrame:
     """qid, doc_id, score, rank: each query's k best among the documents of the lists it probes. index: doc_id, list_id, fde.
 
+    The index is read several times: store it. A query goes to each list that it probes, or, where these are so many that this takes longer,
+    to all documents, with the names of its lists.
+    """
+    nlist, n = max(1, centroids.count()), index.count()
+    blocks_ = chamfer.split(*_clouds(query_fde, index))
+    # For a query: rows moved and documents scored.
+    by_list, by_block = nprobe * (MOVE + n / nlist), blocks_[1] * MOVE + n
+    return (search_blocks if by_block < by_list else search_lists)(query_fde, index, centroids, nprobe, k, digits)
+
+
+def _clouds(query_fde: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """An encoding is a cloud of one token."""
+    return query_fde.select("qid", F.array("fde").alias("toks")), index.select("doc_id", "list_id", F.array("fde").alias("toks"))
+
+
+def search_blocks(query_fde: DataFrame, index: DataFrame, centroids: DataFrame, nprobe: int, k: int, digits: int | None = None) -> DataFrame:
+    """The search where many lists are probed: blocks of queries meet blocks of documents, and documents of other lists are left out.
+
+    A query moves once for each block, with a bit for each list, however many it probes.
+    """
+    lists = np.array(sorted(r.list_id for r in centroids.select("list_id").distinct().collect()), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            asked = np.zeros((b.num_rows, len(lists)), bool)
+            of = b.column(2).flatten().to_numpy(zero_copy_only=False)
+            asked[np.repeat(np.arange(b.num_rows), np.diff(b.column(2).offsets.to_numpy())), np.searchsorted(lists, of)] = True
+            bits = [x.tobytes() for x in np.packbits(asked, axis=1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.binary())], ["qid", "fde", "asked"])
+
+    found = nearest(query_fde, "qid", centroids, nprobe, digits).where(F.size("lists") > 0)
+    asks = found.mapInArrow(run, f"qid {query_fde.schema['qid'].dataType.simpleString()}, fde array<double>, asked binary")
+    q, d = asks.select("qid", F.array("fde").alias("toks"), "asked"), _clouds(query_fde, index)[1]
+    met = chamfer.grid(q, d, *chamfer.split(*_clouds(query_fde, index)))
+    return chamfer.ranked(chamfer.topk_met(*met, ["a", "b"], k, digits, lists), k, digits)
+
+
+def search_lists(query_fde: DataFrame, index: DataFrame, centroids: DataFrame, nprobe: int, k: int, digits: int | None = None) -> DataFrame:
+    """The search where few lists are probed.
+
     A list is dealt into blocks of ``LIST_BLOCK`` documents, which meet the queries that probe it in cells, by matrix products.
     """
     asked = probes(query_fde, centroids, nprobe, digits).select("qid", "list_id", F.array("fde").alias("toks"))

@@ -10,10 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def cells(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """The rows of one cell after the other, from a partition that is sorted by its first ``keys`` columns; one cell is held at a time."""
+def cells(batches: Iterator[pa.RecordBatch], keys: int, most: int | None = None) -> Iterator[pa.Table]:
+    """The rows of one cell after the other, from a partition that is sorted by its first ``keys`` columns; one cell is held at a time.
+
+    ``most``: a cell comes in several runs, of about so many bytes at most.
+    """
     held: list[pa.RecordBatch] = []
     last: tuple = ()
+    size = 0
     for b in batches:
         if not b.num_rows:
             continue
@@ -24,18 +28,22 @@ def cells(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         cuts = [0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows]
         for i, j in zip(cuts, cuts[1:]):
             here = tuple(c[i] for c in cols)
-            if held and here != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(b.slice(i, j - i))
-            last = here
+            step = j - i if most is None else max(1, min(j - i, most * b.num_rows // max(1, b.nbytes)))
+            for at in range(i, j, step):
+                part = b.slice(at, min(step, j - at))
+                if held and (here != last or (most is not None and size + part.nbytes > most)):
+                    yield pa.Table.from_batches(held)
+                    held, size = [], 0
+                held.append(part)
+                size += part.nbytes if most is not None else 0
+                last = here
     if held:
         yield pa.Table.from_batches(held)
 
 
-def meet(rows: DataFrame, keys: list[str], parts: int, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``run`` over partitions in which a cell's rows stand together."""
-    return rows.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+def meet(rows: DataFrame, keys: list[str], parts: int, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, dealt: int | None = None) -> DataFrame:
+    """``run`` over partitions in which a cell's rows stand together, in order of ``keys``. ``dealt``: the first so many keys name the cell."""
+    return rows.repartition(parts, *keys[:dealt]).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:

@@ -222,7 +222,7 @@ def ivf_assign(spark: SparkSession, folder: str) -> DataFrame:
 def _ivf(spark: SparkSession, folder: str, k: int) -> DataFrame:
     asked, rows = _encodings(spark, folder)
     centroids = ann.every(rows, CENTROID_EVERY)
-    return ann.search(asked, ann.assign(rows, centroids, DIGITS), centroids, NPROBE, k, DIGITS)
+    return ann.search(asked, keep(ann.assign(rows, centroids, DIGITS), "lists"), centroids, NPROBE, k, DIGITS)
 
 
 @register(f"with {_ENCODED}, {_EXACT}, {_LISTS}, {_PROBED}, {_rank('ps', CANDIDATES, 'r')} select * from r")
@@ -240,7 +240,7 @@ def ivf_search_share(spark: SparkSession, folder: str) -> DataFrame:
     asked, rows = _encodings(spark, folder)
     centroids = ann.every(rows, CENTROID_EVERY)
     nprobe = max(1, math.ceil(centroids.count() * PROBE_SHARE))
-    return ann.search(asked, ann.assign(rows, centroids, DIGITS), centroids, nprobe, CANDIDATES, DIGITS)
+    return ann.search(asked, keep(ann.assign(rows, centroids, DIGITS), "lists"), centroids, nprobe, CANDIDATES, DIGITS)
 
 
 @register()
@@ -248,7 +248,7 @@ def ivf_kmeans_search(spark: SparkSession, folder: str) -> DataFrame:
     """Trained centroids depend on the engine; with every list probed the result is the exhaustive one (tests)."""
     asked, rows = _encodings(spark, folder)
     centroids = keep(ann.train(rows, 4), "centroids")
-    return ann.search(asked, ann.assign(rows, centroids), centroids, NPROBE, K)
+    return ann.search(asked, keep(ann.assign(rows, centroids), "lists"), centroids, NPROBE, K)
 
 
 @register(

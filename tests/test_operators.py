@@ -465,3 +465,21 @@ def test_sketch_policy_and_second_stage(spark, tmp_path):
     both = find(read_policy="sketch", sketch_tokens=1, exact_n=20)
     assert order(both, 20) == order(find(), 20) and {r.stage for r in both.collect()} == {"exact"}
     assert {r.stage for r in find(read_policy="sketch", sketch_tokens=1, exact_n=4).collect()} == {"exact", "tail"}
+
+
+def test_searches_that_probe_most_lists_move_a_query_once_a_block(spark, monkeypatch):
+    """The same results as list by list, for long and string ids, with lists that hold nothing and numbers that leave gaps."""
+    rng = np.random.default_rng(5)
+    rows = lambda df: sorted((r.qid, r["rank"], r.doc_id, r.score) for r in df.collect())
+    for kind, name in (("long", int), ("string", "d{:03d}".format)):
+        docs = spark.createDataFrame([(name(i), rng.normal(size=4).tolist()) for i in range(300)], f"doc_id {kind}, fde array<double>")
+        asks = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(7)], "qid long, fde array<double>")
+        centroids = spark.createDataFrame([(3 * i + 1, rng.normal(size=4).tolist()) for i in range(60)], "list_id int, c array<double>")
+        index = spark.createDataFrame(ann.assign(docs, centroids, 6).collect(), f"doc_id {kind}, list_id int, fde array<double>")
+        for nprobe in (3, 50):
+            assert rows(ann.search_blocks(asks, index, centroids, nprobe, 9, 6)) == rows(ann.search_lists(asks, index, centroids, nprobe, 9, 6))
+    few, took = ann.search_lists(asks, index, centroids, 50, 9, 6), []
+    monkeypatch.setattr(ann, "search_lists", lambda *a: took.append(a))
+    assert rows(ann.search(asks, index, centroids, 50, 9, 6)) == rows(few) and not took
+    ann.search(asks, index, centroids, 1, 9, 6)
+    assert took
