@@ -408,8 +408,8 @@ def qrels_labels(spark: SparkSession, folder: str) -> DataFrame:
 def truth_incremental(spark: SparkSession, folder: str) -> DataFrame:
     """Truth of the first half of the queries stored, that of the others added."""
     q, d = _clouds(spark, folder)
-    stored = keep(chamfer.ranked(chamfer.scores(q.where("qid % 40 = 0"), d), K, DIGITS), "truth")
-    return store.extend_truth(stored, chamfer.ranked(chamfer.scores(store.unseen(q, stored), d), K, DIGITS), K)
+    stored = keep(chamfer.ranked(chamfer.topk_cells(q.where("qid % 40 = 0"), d, K, DIGITS), K, DIGITS), "truth")
+    return store.extend_truth(stored, chamfer.ranked(chamfer.topk_cells(keep(store.unseen(q, stored), "unseen"), d, K, DIGITS), K, DIGITS), K)
 
 
 @register(f"with {_TOKENS}, {_QRELS} select count(*) n_judged, count(l.doc_id) n_found, round(count(l.doc_id) / count(*), 6) AS share from (select distinct doc_id from j) x left join labels l using (doc_id)")

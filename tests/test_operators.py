@@ -483,3 +483,20 @@ def test_searches_that_probe_most_lists_move_a_query_once_a_block(spark, monkeyp
     assert rows(ann.search(asks, index, centroids, 50, 9, 6)) == rows(few) and not took
     ann.search(asks, index, centroids, 1, 9, 6)
     assert took
+
+
+@pytest.mark.parametrize("name", ["truth_incremental"])
+def test_searches_of_clouds_go_by_matrix_products(spark, monkeypatch, name):
+    """The expression kernel takes hours at sizes that products do in minutes."""
+    from tesserae.plans import catalog
+
+    rng = np.random.default_rng(2)
+    q, d = (spark.createDataFrame([(20 * i, rng.normal(size=(5, catalog.DIM)).tolist()) for i in range(6)], f"{key} long, toks array<array<double>>") for key in ("qid", "doc_id"))
+    monkeypatch.setattr(catalog, "_clouds", lambda spark, folder: (q, d))
+    monkeypatch.setattr(catalog, "keep", lambda rows, name: rows)
+
+    def never(*a):
+        raise AssertionError("the expression kernel")
+
+    monkeypatch.setattr(chamfer, "scores", never)
+    assert catalog.QUERIES[name](spark, "").columns
