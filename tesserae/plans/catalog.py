@@ -374,7 +374,7 @@ def ndcg_qrels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _against(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.against_truth(keep(fde_search_exact(spark, folder), "results"), keep(chamfer_topk(spark, folder), "truth"), K)
+    return metrics.against_truth(keep(fde_search_exact(spark, folder), "results"), keep(chamfer_gemm_topk(spark, folder), "truth"), K)
 
 
 @register(f"{_TRUTH} select round(avg(hits / n), 6) recall from m")
