@@ -286,7 +286,7 @@ def half_ends(spark: SparkSession, folder: str) -> DataFrame:
 def half_front_topk(spark: SparkSession, folder: str) -> DataFrame:
     """Search over half of every document, cut from packed clouds. A cloud of five has two tokens in its front half."""
     q, d = _clouds(spark, folder)
-    return chamfer.ranked(chamfer.scores(q, d.withColumn("toks", partial.half(F.col("toks"), "front"))), K, DIGITS)
+    return chamfer.ranked(chamfer.topk_cells(q, d.withColumn("toks", partial.half(F.col("toks"), "front")), K, DIGITS), K, DIGITS)
 
 
 _NORMS = f"with {_TOKENS}, s as (select doc_id, tok_id, round(sqrt({_dot('v', 'v')}), 6) norm from t), k as (select *, cast(row_number() over (partition by doc_id order by norm desc, tok_id) as integer) place from s)"
