@@ -459,7 +459,7 @@ def stream_search(spark: SparkSession, folder: str) -> DataFrame:
     run = place(spark, "stream")
     q.repartition(3).write.parquet(f"{run}/in")
     static = keep(d, "static")
-    answer = lambda asked: chamfer.ranked(chamfer.scores(asked, static), K, DIGITS)
+    answer = lambda asked: chamfer.ranked(chamfer.topk_cells(asked, static, K, DIGITS), K, DIGITS)
     streaming.serve(streaming.query_stream(spark, f"{run}/in", files=1), answer, f"{run}/out", f"{run}/state")
     return spark.read.parquet(f"{run}/out").select("qid", "doc_id", "score", "rank")
 
