@@ -485,7 +485,7 @@ def test_searches_that_probe_most_lists_move_a_query_once_a_block(spark, monkeyp
     assert took
 
 
-@pytest.mark.parametrize("name", ["truth_incremental", "hit_bf", "ndcg_bf", "recall_bf", "half_front_topk", "stream_search"])
+@pytest.mark.parametrize("name", ["truth_incremental", "hit_bf", "ndcg_bf", "recall_bf", "half_front_topk", "stream_search", "chamfer_topk"])
 def test_searches_of_clouds_go_by_matrix_products(spark, monkeypatch, name):
     """The expression kernel takes hours at sizes that products do in minutes."""
     from tesserae.plans import catalog
