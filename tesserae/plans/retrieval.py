@@ -68,7 +68,8 @@ def candidates(spark: SparkSession, path: str, queries: DataFrame, cfg: SearchCo
 def search(spark: SparkSession, path: str, queries: DataFrame, documents: DataFrame, cfg: SearchConfig, made: FdeConfig | None = None, query_cache: str | None = None) -> DataFrame:
     """qid, doc_id, score, stage, rank: candidates, rescored on the tokens that the policy reads, then the tail."""
     clouds = documents if cfg.read_policy == "full" else documents.withColumn("toks", partial.half(F.col("toks"), cfg.read_policy, cfg.sketch_tokens))
-    found = candidates(spark, path, queries, cfg, documents, made, query_cache)
+    # Read twice, for the head and the tail.
+    found = keep(candidates(spark, path, queries, cfg, documents, made, query_cache), "candidates")
     first = rerank.rerank(found, queries, clouds, cfg.rerank_n)
     if not cfg.exact_n:
         return first

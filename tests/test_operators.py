@@ -500,3 +500,11 @@ def test_searches_of_clouds_go_by_matrix_products(spark, monkeypatch, name):
 
     monkeypatch.setattr(chamfer, "scores", never)
     assert catalog.QUERIES[name](spark, "").columns
+
+
+def test_candidates_are_searched_once(spark, monkeypatch, tmp_path):
+    cfg, docs, asks = FdeConfig(dimension=4, repetitions=2, projections=2), _random_clouds(spark, 20), _random_clouds(spark, 3, key="qid", seed=9)
+    kept, keep = [], retrieval.keep
+    monkeypatch.setattr(retrieval, "keep", lambda rows, name: kept.append(name) or keep(rows, name))
+    assert retrieval.search(spark, str(tmp_path / "i"), asks, docs, retrieval.SearchConfig(candidates=9, rerank_n=4, nprobe=0), cfg).count() == 27
+    assert kept == ["candidates"]
