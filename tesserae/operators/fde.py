@@ -125,10 +125,6 @@ def sketch_long(long: DataFrame, cfg: FdeConfig, key: str = "doc_id") -> DataFra
     return long.select(key, at, "val").select(key, where.alias("dim"), (F.col("val") * by).alias("val")).groupBy(key, "dim").agg(F.sum("val").alias("val"))
 
 
-#: Of the encodings in a cell of the exhaustive search.
-CELL_BYTES = 64 << 20
-
-
 class Kernel:
     """The encoding of one cloud, in double precision."""
 
@@ -198,11 +194,9 @@ def encode_documents(packed: DataFrame, cfg: FdeConfig, key: str = "doc_id") ->
 
 
 def search(query_fde: DataFrame, document_fde: DataFrame, k: int, digits: int | None = None) -> DataFrame:
-    """qid, doc_id, score, rank: exhaustive inner products, by matrix products in cells of about ``CELL_BYTES``."""
+    """qid, doc_id, score, rank: exhaustive inner products, by matrix products in cells of bounded size."""
     from tesserae.operators import chamfer
 
     # An encoding is a cloud of one token.
     q, d = query_fde.select("qid", F.array("fde").alias("toks")), document_fde.select("doc_id", F.array("fde").alias("toks"))
-    length = document_fde.agg(F.max(F.size("fde"))).first()[0] or 1
-    block = max(chamfer.LEAST_BLOCK, min(chamfer.DOCUMENT_BLOCK, CELL_BYTES // (8 * length)))
-    return chamfer.ranked(chamfer.topk_cells(q, d, k, digits, min(chamfer.QUERY_BLOCK, block), block), k, digits)
+    return chamfer.ranked(chamfer.topk_cells(q, d, k, digits), k, digits)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions import udfs, vectors
-from tesserae.operators import ann, chamfer, encoder, fde, lsh, metrics, partial, rerank, samples, stats, store
+from tesserae.operators import ann, blocks, chamfer, encoder, fde, lsh, metrics, partial, rerank, samples, stats, store
 from tesserae.operators.fde import Encoding, FdeConfig, Projection
 from tesserae.plans import retrieval
 from tesserae.sources import tables
@@ -502,6 +502,30 @@ def test_searches_of_clouds_go_by_matrix_products(spark, monkeypatch, name):
     assert catalog.QUERIES[name](spark, "").columns
 
 
+def test_cells_and_blocks_are_bounded_by_bytes(spark, monkeypatch):
+    import pyarrow as pa
+
+    b = pa.record_batch({"cell": np.repeat([0, 1], 500), "v": pa.array(np.zeros((1000, 8)).tolist())})
+    runs = list(blocks.cells(iter([b.slice(0, 300), b.slice(300)]), 1, 4000))
+    assert sum(t.num_rows for t in runs) == 1000 and max(t.nbytes for t in runs) <= 4400 and all(len(set(t["cell"].to_pylist())) == 1 for t in runs)
+    docs, asks = _random_clouds(spark, 200), _random_clouds(spark, 40, key="qid", seed=9)
+    few = chamfer.split(asks, docs)
+    monkeypatch.setattr(chamfer, "CELL_BYTES", 800)
+    many = chamfer.split(asks, docs)
+    assert many[0] > few[0] and many[1] > few[1]
+    rows = lambda kernel: sorted((r.qid, r["rank"], r.doc_id) for r in chamfer.topk(asks, docs, 5, kernel).collect())
+    assert rows("gemm") == rows("expression")
+
+
+def test_products_rank_what_is_not_a_number_as_the_expression_does(spark):
+    nan, inf = float("nan"), float("inf")
+    q = spark.createDataFrame([(0, [[1.0, 1.0]])], "qid long, toks array<array<double>>")
+    d = spark.createDataFrame([(0, [[1.0, 0.0]]), (1, [[nan, 0.0]]), (2, [[2.0, 0.0], None]), (3, [None]), (4, []), (5, [[inf, 0.0]])], "doc_id long, toks array<array<double>>")
+    for k in (2, 6):
+        got = [[(r["rank"], r.doc_id, repr(r.score)) for r in chamfer.ranked(rows, k, 6).orderBy("rank").collect()] for rows in (chamfer.topk_cells(q, d, k, 6), chamfer.scores(q, d))]
+        assert got[0] == got[1] and [i for _, i, _ in got[0]] == [1, 5, 2, 0, 4, 3][:k]
+
+
 def test_candidates_are_searched_once(spark, monkeypatch, tmp_path):
     cfg, docs, asks = FdeConfig(dimension=4, repetitions=2, projections=2), _random_clouds(spark, 20), _random_clouds(spark, 3, key="qid", seed=9)
     kept, keep = [], retrieval.keep
