@@ -18,7 +18,7 @@ from tesserae.operators import blocks, chamfer
 
 BROADCAST_BYTES = 64 << 20
 LIST_BLOCK, QUERY_BLOCK = 4096, 1024
-#: To move an encoding to a cell takes about as long as to score so many.
+#: To move an encoding to a cell is taken to last as long as to score so many: an estimate, not measured.
 MOVE = 100
 
 

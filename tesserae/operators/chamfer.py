@@ -3,7 +3,7 @@
 Queries and documents are packed, one row a cloud, and meet in cells: blocks of queries by blocks of documents, both of bounded size, so
 neither side is broadcast and no side's growth reaches one task. Two kernels give the same scores: a DataFrame expression, and matrix
 products of a cell's queries with its documents, a run of documents after the other, with a segmented maximum. The searches use the
-products; the expression takes thousands of times the time of a product and is there to be held against them.
+products; the expression takes far longer and is there to be held against them.
 """
 
 from __future__ import annotations
