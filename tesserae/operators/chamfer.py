@@ -2,8 +2,9 @@
 
 Queries and documents are packed, one row a cloud, and meet in cells: blocks of queries by blocks of documents, both of bounded size, so
 neither side is broadcast and no side's growth reaches one task. Two kernels give the same scores: a DataFrame expression, and matrix
-products of a cell's queries with its documents, a run of documents after the other, with a segmented maximum. The searches use the
-products; the expression takes far longer and is there to be held against them.
+products of a cell's queries with its documents, a run of documents after the other: with their first tokens, their second ones and so on,
+of which the maximum is taken whole matrix by whole matrix. The searches use the products; the expression takes far longer and is there to
+be held against them.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ QUERY_BLOCK, DOCUMENT_BLOCK = 4096, 4096
 CELL_BYTES, HELD_BYTES, PRODUCT_BYTES = 32 << 20, 8 << 20, 16 << 20
 #: Few documents are dealt over the session's cores all the same, in blocks of no fewer than this.
 LEAST_BLOCK = 32
+#: Tokens of one number are multiplied together if so many documents of a run have them.
+LEAST_SLOT = 64
 EMPTY = -1e9
 
 
@@ -68,14 +71,45 @@ def unpack(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(rows), width), start
 
 
-def segmented(q: np.ndarray, qs: np.ndarray, d: np.ndarray, ds: np.ndarray) -> np.ndarray:
+class Slots:
+    """Document clouds by the numbers of their tokens, the longest first: the first token of each, the second of each that has one, and so on.
+
+    Tokens whose number fewer than ``LEAST_SLOT`` documents reach are left in segments, one a document.
+    """
+
+    def __init__(self, d: np.ndarray, ds: np.ndarray) -> None:
+        size = np.diff(ds)
+        self.n, some = len(size), np.flatnonzero(size > 0)
+        self.some = some[np.argsort(-size[some], kind="stable")]
+        start, size = ds[self.some], size[self.some]
+        # Clouds of one token are there as they should be.
+        self.parts = [d if len(d) == len(some) else d[start]]
+        while (longer := np.count_nonzero(size > len(self.parts))) >= LEAST_SLOT:
+            self.parts.append(d[start[:longer] + len(self.parts)])
+        left = size[:longer] - len(self.parts)
+        self.starts = np.cumsum(left) - left
+        self.rest = d[np.repeat(start[:longer] + len(self.parts) - self.starts, left) + np.arange(left.sum())]
+
+    def best(self, q: np.ndarray) -> np.ndarray:
+        """The greatest product of each token of ``q`` with a cloud, in order of ``some``."""
+        best = q @ self.parts[0].T
+        held = np.empty(best.size if len(self.parts) > 1 else 0)
+        for part in self.parts[1:]:
+            own = best[:, : len(part)]
+            np.maximum(own, np.matmul(q, part.T, out=held[: own.size].reshape(own.shape)), out=own)
+        if len(self.rest):
+            own = best[:, : len(self.starts)]
+            np.maximum(own, np.maximum.reduceat(q @ self.rest.T, self.starts, axis=1), out=own)
+        return best
+
+
+def segmented(q: np.ndarray, qs: np.ndarray, documents: Slots) -> np.ndarray:
     """Chamfer of every query cloud with every document cloud, (queries, documents)."""
-    out = np.full((len(qs) - 1, len(ds) - 1), EMPTY)
-    some, asked = np.flatnonzero(np.diff(ds) > 0), np.flatnonzero(np.diff(qs) > 0)
+    out = np.full((len(qs) - 1, documents.n), EMPTY)
+    some, asked = documents.some, np.flatnonzero(np.diff(qs) > 0)
     out[np.ix_(np.flatnonzero(np.diff(qs) == 0), some)] = 0.0
     if len(some) and len(asked):
-        best = q @ d.T
-        best = best if len(d) == len(some) else np.maximum.reduceat(best, ds[some], axis=1)
+        best = documents.best(q)
         out[np.ix_(asked, some)] = best if len(q) == len(asked) else np.add.reduceat(best, qs[asked], axis=0)
     return out
 
@@ -162,7 +196,7 @@ def topk_met(queries: DataFrame, documents: DataFrame, keys: list[str], k: int,
                 bits = None if lists is None else np.stack([np.frombuffer(x.as_py(), np.uint8) for x in every.column("asked")])
                 asks, every = [], None
             ids, (dv, ds) = t.column("doc_id").combine_chunks(), unpack(t.column("toks"))
-            void = _void(t, ds)
+            void, documents_ = _void(t, ds), Slots(dv, ds)
             # Strings are compared as Spark does, by their bytes in UTF-8: the order of Python's.
             place = np.unique(ids.to_numpy(zero_copy_only=False), return_inverse=True)[1]
             if lists is not None:
@@ -173,7 +207,7 @@ def topk_met(queries: DataFrame, documents: DataFrame, keys: list[str], k: int,
             which, found, scores_ = [], [], []
             for i in range(0, len(qids), step):
                 j = min(len(qids), i + step)
-                score = segmented(qv[qs[i] : qs[j]], qs[i : j + 1] - qs[i], dv, ds)
+                score = segmented(qv[qs[i] : qs[j]], qs[i : j + 1] - qs[i], documents_)
                 score[:, void], score[unknown[i:j]] = -np.inf, -np.inf
                 if lists is not None:
                     allowed = np.unpackbits(bits[i:j], axis=1)[:, at].astype(bool) & known

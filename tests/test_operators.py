@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -517,6 +518,27 @@ def test_cells_and_blocks_are_bounded_by_bytes(spark, monkeypatch):
     assert rows("gemm") == rows("expression")
 
 
+def test_tokens_of_one_number_are_multiplied_together():
+    """Clouds of all sizes, with and without tokens left in segments; what is held grows with the documents, not with their tokens."""
+    rng = np.random.default_rng(4)
+    for size, parts in ((np.full(400, 20), 20), (rng.integers(0, 9, 900), 8), (np.array([300, 0, 1, 7] * 20), 1), (np.r_[np.ones(70, int), 500], 1), (np.zeros(3, int), 1)):
+        ds, qs = np.r_[0, np.cumsum(size)], np.r_[0, np.cumsum([3, 0, 1, 46])]
+        d, q = rng.normal(size=(ds[-1], 4)), rng.normal(size=(50, 4))
+        d[17:18] = np.nan
+        slots = chamfer.Slots(d, ds)
+        assert len(slots.parts) == parts and sum(map(len, slots.parts)) + len(slots.rest) == len(d)
+        want = [[(chamfer_of(q[i:j], d[a:b]) if j > i or a == b else 0.0) for a, b in zip(ds, ds[1:])] for i, j in zip(qs, qs[1:])]
+        assert np.allclose(chamfer.segmented(q, qs, slots), want, rtol=0, atol=1e-12, equal_nan=True)
+    ds = np.arange(0, 8001, 20)
+    slots = chamfer.Slots(rng.normal(size=(8000, 4)), ds)
+    tracemalloc.start()
+    chamfer.segmented(q, qs, slots)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # All products at once: 50 by 8000.
+    assert held < 50 * 8000 * 8 / 4
+
+
 def test_products_rank_what_is_not_a_number_as_the_expression_does(spark):
     nan, inf = float("nan"), float("inf")
     q = spark.createDataFrame([(0, [[1.0, 1.0]])], "qid long, toks array<array<double>>")
