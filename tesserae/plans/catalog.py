@@ -120,11 +120,14 @@ def _clouds(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     return keep(q, "query-clouds"), keep(d, "clouds")
 
 
-def _encodings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    q, d = _clouds(spark, folder)
+def _encoded(q: DataFrame, d: DataFrame) -> tuple[DataFrame, DataFrame]:
     return keep(fde.encode_queries(q, SUM), "query-fde"), keep(fde.encode_documents(d, FILLED), "fde")
 
 
+def _encodings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return _encoded(*_clouds(spark, folder))
+
+
 def _long(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "rep", "part", "dim", (F.round("val", DIGITS) + 0.0).alias("val"))
 
@@ -374,7 +377,11 @@ def ndcg_qrels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _against(spark: SparkSession, folder: str) -> DataFrame:
-    return metrics.against_truth(keep(fde_search_exact(spark, folder), "results"), keep(chamfer_gemm_topk(spark, folder), "truth"), K)
+    """Results of fde_search_exact against those of chamfer_gemm_topk, on clouds that are packed once for both."""
+    q, d = _clouds(spark, folder)
+    results = fde.search(*_encoded(q, d), K, DIGITS)
+    truth = chamfer.ranked(chamfer.topk_cells(q, d, K, DIGITS), K, DIGITS)
+    return metrics.against_truth(keep(results, "results"), keep(truth, "truth"), K)
 
 
 @register(f"{_TRUTH} select round(avg(hits / n), 6) recall from m")

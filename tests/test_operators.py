@@ -503,6 +503,15 @@ def test_searches_of_clouds_go_by_matrix_products(spark, monkeypatch, name):
     assert catalog.QUERIES[name](spark, "").columns
 
 
+@pytest.mark.parametrize("name", ["hit_bf", "ndcg_bf", "recall_bf"])
+def test_results_and_truth_share_their_clouds(spark, monkeypatch, name):
+    from tesserae.plans import catalog
+
+    made, pack = [], catalog._clouds
+    monkeypatch.setattr(catalog, "_clouds", lambda *a: made.append(a) or pack(*a))
+    assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").count() and len(made) == 1
+
+
 def test_cells_and_blocks_are_bounded_by_bytes(spark, monkeypatch):
     import pyarrow as pa
 
