@@ -32,7 +32,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--nprobe", default=50, type=int, help="lists read for each query")
         p.add_argument("--candidates", type=int, default=100)
         p.add_argument("--rerank-n", type=int, nargs="+" if p is sweep else None, default=[50] if p is sweep else 50)
-        p.add_argument("--read-policy", choices=partial.POLICIES, default="full")
+        p.add_argument("--read-policy", choices=(*partial.POLICIES, "sketch"), default="full")
         p.add_argument("--sketch-tokens", type=int, default=256, help="longest tokens that the policy sketch reads")
         p.add_argument("--exact-n", type=int, default=0, help="rescored documents that are rescored again on whole clouds")
         p.add_argument("--query-cache", help="folder of encoded queries")

@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from tesserae.functions import vectors
 
-POLICIES = ("full", "front", "back", "ends", "sketch")
+#: By token numbers alone; ``half`` also knows ``sketch``.
+POLICIES = ("full", "front", "back", "ends")
 
 
 def wanted(policy: str, tok: Column, n: Column) -> Column:
